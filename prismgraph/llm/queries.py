@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, chat, jaccard, packing, quality, resharding, token_counts, url_filter
+from . import bitplane, chat, decontamination, html_crf, jaccard, packing, quality, resharding, token_counts, url_filter
 from .common import shared_dir, store, table
 
 SQL: dict[str, str] = {}
@@ -24,6 +24,10 @@ def op1_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.documents_of(bitplane.read_ids(spark, path))
 
 
+def op2_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
@@ -96,8 +100,12 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM judged
 """
 
+def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bitplane_ids, op3_url_rules, op4_flow_resharding, op5_token_counts, op6_mixture_packing, op7_chat_windows, op8_quality_rules, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_bitplane_ids, op2_crf_extraction, op3_url_rules, op4_flow_resharding, op5_token_counts, op6_mixture_packing, op7_chat_windows, op8_quality_rules, op9_template_leaks, op10_ngram_jaccard)}
