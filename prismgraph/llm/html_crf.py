@@ -191,6 +191,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = 120, deca
 
 # Layouts of the training pages: ways to open a part of a page. Names are in use on the web at large.
 ARTICLE = [["<article>"], ["<main>"], ["<main>", "<article>"], ['<div class="content">'], ['<div id="content">'], ['<div class="post">'], ['<div class="entry-content">'], ['<div class="article-body">'], ['<section class="story">'], ['<div id="main">', "<article>"], ['<div role="main">'], ['<article class="post">', '<div class="entry">'], ['<div class="main-content">'], ['<div class="text">'], ["<section>"], ['<div class="wrapper">', "<article>"], ['<div class="container">', "<main>"], ['<div class="page">', '<div class="body">']]
+WRAPPERS = ["<div>", '<div id="page">', '<div class="site">', '<div class="wrapper">', '<div class="container">', '<div id="app">', '<div class="layout">', '<div id="root">']
 MENU = ["<nav>", '<div class="menu">', '<ul class="navbar">', '<div id="navigation">', '<div class="breadcrumbs">', '<nav class="top-nav">', '<div class="nav">', '<ul id="menu">', '<div role="navigation">', '<menu>']
 HEADER = ["<header>", '<div class="header">', '<div id="masthead">', '<header class="site-header">', '<div class="banner">', '<div class="topbar">', '<div role="banner">']
 SIDE = ["<aside>", '<div class="sidebar">', '<div id="sidebar">', '<aside class="related">', '<section class="widget">', '<div class="related-posts">', '<div class="recommended">', '<div role="complementary">', '<div class="teaser">', '<div class="popular">', '<div id="right-column">']
@@ -227,7 +228,7 @@ def labelled_pages(n: int, seed: int = 7) -> list[tuple[str, list[str]]]:
         o = rng.choice(openings)
         if o.startswith("<p"):  # a paragraph holds no blocks
             body = prose(2)
-        elif rng.random() < 0.12:  # a name that says nothing
+        elif openings is not COMMENTS and rng.random() < 0.05:  # a name that says nothing
             o = rng.choice(["<div>", f'<div class="{word()}">', f'<div id="{word()}">'])
         return o + body + ended(o)
 
@@ -291,13 +292,16 @@ def labelled_pages(n: int, seed: int = 7) -> list[tuple[str, list[str]]]:
         before = [k for k in ("notice", "header", "menu", "ad", "form", "side") if rng.random() < 0.4]
         after = [k for k in ("share", "ad", "comments", "side", "form", "notice", "menu") if rng.random() < 0.35] + ["footer"] * (rng.random() < 0.8)
         rng.shuffle(before)
-        opening = rng.choice(ARTICLE) if rng.random() < 0.8 else [rng.choice(["<div>", f'<div class="{word()}">', f'<div id="{word()}">'])]
+        opening = rng.choice(ARTICLE) if rng.random() < 0.88 else [rng.choice(["<div>", f'<div class="{word()}">', f'<div id="{word()}">'])]
         body, texts = article()
         inner = "".join(noise[k]() for k in ("share", "comments", "form", "ad") if rng.random() < 0.12)
         middle = "".join(opening) + body + inner + "".join(ended(o) for o in reversed(opening))
         if rng.random() < 0.04:
             middle, texts = "", []
-        pages.append((f"<!DOCTYPE html><html><head><title>{phrase(2, 6)}</title></head><body>" + "".join(noise[k]() for k in before) + middle + "".join(noise[k]() for k in after) + "</body></html>", texts))
+        whole = "".join(noise[k]() for k in before) + middle + "".join(noise[k]() for k in after)
+        if rng.random() < 0.4:
+            whole = rng.choice(WRAPPERS) + whole + "</div>"
+        pages.append((f"<!DOCTYPE html><html><head><title>{phrase(2, 6)}</title></head><body>{whole}</body></html>", texts))
     return pages
 
 
