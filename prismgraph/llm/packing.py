@@ -193,6 +193,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024, t
     # several pooled queues may stand in one shard, so the order within a number is (shard, queue)
     base = offsets(sizes.withColumn("place", F.struct("shard", "queue")), "place", "n", "base", ("number",)).drop("n", "place")
     named = base.withColumnRenamed("queue", "q").withColumnRenamed("shard", "s")
+    # a row per shard and queue: small unless there are very many sources
+    named = F.broadcast(named) if rest.queues <= 100_000 else named
     placed = done.join(named, done["queue"].eqNullSafe(named["q"]) & (done["shard"] == named["s"])).select("doc_id", "number", (F.col("base") + F.col("at")).alias("position"), "n", "ids")
 
     def run(batches):

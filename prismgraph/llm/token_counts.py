@@ -19,19 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import _COARSE, _FINE, _STRANGE, CACHE_UNITS, in_chunks
+from .tokens import _COARSE, _FINE, _STRANGE, CACHE_UNITS, byte_letters, in_chunks
 
 #: The pre-tokenizer's pattern of byte-level BPE, a fixed value of the format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256."""
-    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
-
-
 class Counter:
     def __init__(self, path: str):
         import regex

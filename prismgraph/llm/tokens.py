@@ -8,6 +8,8 @@ expression engines differ, strings of special tokens) go to the library whole.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from functools import lru_cache
 from itertools import islice
@@ -15,7 +17,7 @@ from itertools import islice
 import numpy as np
 
 #: Entries of a worker's cache. When full, the half that came last goes: frequent units come early.
-CACHE_UNITS = 900_000
+CACHE_UNITS = 500_000
 
 #: Outside of these characters, or with a sign that NFC or lower case may join to its neighbour, no cutting.
 _STRANGE = re.compile("[^\\t\\n\\r\x20-\x7e\xa1-įı-ňŊ-ǃǍ-ǯǴ-ɏ‐-―‘-‟•…€]")
@@ -23,10 +25,22 @@ _FINE = re.compile(r" ?[^\W_]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 _COARSE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
+_NO_SPACE = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
+
+
 @lru_cache(maxsize=4)
 def _library(path: str):
     from tokenizers import Tokenizer
 
+    # tasks share their machine's cores already; threads of the library's own only cost memory and idle turns
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = Tokenizer.from_file(path)
     t.no_padding()
     t.no_truncation()
@@ -40,23 +54,45 @@ class Encoder:
         self.library = _library(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        spec = json.loads(self.library.to_str())
+        steps = spec["normalizer"]["normalizers"] if (spec["normalizer"] or {}).get("type") == "Sequence" else [spec["normalizer"] or {}]
+        self.lower = any(x.get("type") == "Lowercase" for x in steps)
+        # a vocabulary that drops white space needs no units for it
+        before = spec["pre_tokenizer"].get("pretokenizers", [])
+        self.drops = any(x.get("type") == "Split" and x["behavior"] == "Removed" and x["invert"] for x in before)
+        self.model = self.library.model
 
     def units(self, text: str) -> list[str] | None:
         """The pieces that may be encoded alone, or None where only the whole may."""
         if _STRANGE.search(text) or any(s in text for s in self.special):
             return None
-        return (_COARSE if "'" in text else _FINE).findall(text)
+        text = text.lower() if self.lower else text
+        return (_COARSE if "'" in text else _NO_SPACE if self.drops else _FINE).findall(text)
+
+    def learn(self, units: list[str]) -> None:
+        """Runs of letters are pre-tokens as they stand, once their bytes (and a space before them) are spelled in the
+        vocabulary's letters, so the library's model takes them alone; all other units go through the whole library."""
+        cache, rest, letters = self.cache, [], byte_letters()
+        tokenize = self.model.tokenize
+        for u in units:
+            word = u[1:] if u[0] == " " else u
+            if word.isalpha():
+                spelled = word if word.isascii() else "".join([letters[b] for b in word.encode()])
+                piece = spelled if word is u or self.drops else letters[32] + spelled
+                cache[u] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(piece)])
+            else:
+                rest.append(u)
+        for i in range(0, len(rest), 1024):
+            some = rest[i : i + 1024]
+            for unit, e in zip(some, self.library.encode_batch(some, add_special_tokens=False), strict=True):
+                cache[unit] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.units(t) for t in texts]
         if len(self.cache) > CACHE_UNITS:
             self.cache = dict(islice(self.cache.items(), CACHE_UNITS // 2))
+        self.learn(list(set().union(*filter(None, cut)).difference(self.cache)))
         cache = self.cache
-        new = list(set().union(*filter(None, cut)).difference(cache))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for unit, e in zip(some, self.library.encode_batch(some, add_special_tokens=False), strict=True):
-                cache[unit] = np.array(e.ids, dtype="<u4").tobytes()
         whole = [t for t, units in zip(texts, cut, strict=True) if units is None]
         rest = iter(self.library.encode_batch(whole, add_special_tokens=False)) if whole else iter(())
         return [
@@ -71,7 +107,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def in_chunks(texts: list[str], size: int = 4_000_000):
+def in_chunks(texts: list[str], size: int = 2_000_000):
     """Slices of about size characters, so that a batch's ids and pieces stay small."""
     start = chars = 0
     for i, t in enumerate(texts):
