@@ -265,7 +265,9 @@ def labelled_pages(n: int, seed: int = 7) -> list[tuple[str, list[str]]]:
             block("h1", phrase(2, 9) + rng.choice(["", "."]))
         for _ in range(rng.choice([0, 1, 2, 4, 8, 14, 25])):
             kind = rng.random()
-            if kind < 0.66:
+            if kind < 0.08:
+                block("p", phrase(1, 7))
+            elif kind < 0.66:
                 block("p", prose())
             elif kind < 0.74:
                 t = prose(1)
@@ -292,6 +294,8 @@ def labelled_pages(n: int, seed: int = 7) -> list[tuple[str, list[str]]]:
         before = [k for k in ("notice", "header", "menu", "ad", "form", "side") if rng.random() < 0.4]
         after = [k for k in ("share", "ad", "comments", "side", "form", "notice", "menu") if rng.random() < 0.35] + ["footer"] * (rng.random() < 0.8)
         rng.shuffle(before)
+        if rng.random() < 0.15:  # little else on the page
+            before, after = [], after[: rng.randint(0, 1)]
         opening = rng.choice(ARTICLE) if rng.random() < 0.88 else [rng.choice(["<div>", f'<div class="{word()}">', f'<div id="{word()}">'])]
         body, texts = article()
         inner = "".join(noise[k]() for k in ("share", "comments", "form", "ad") if rng.random() < 0.12)
