@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismgraph.functions.codes import level_band, morton, record_key
+from prismgraph.functions.codes import bound, level_band, morton, record_key
 from prismgraph.schema import CODES_PER_TOLERANCE_STEP, GROUP_PAGES, LARGEST_CODE, PAGE_RECORDS
 
 
@@ -60,6 +60,23 @@ def directory(paged: DataFrame) -> DataFrame:
     )
 
 
+def visits(paged: DataFrame, covers: DataFrame) -> DataFrame:
+    """Zone map for traversals: levels of every context of a page's edges, and their box grown by the largest error."""
+    c = F.col
+    some = paged.where("representative").join(covers.select("edge", "low", "high"), "edge", "left")
+    v = some.groupBy("page_id").agg(
+        F.count("*").alias("visits"),
+        F.min("low").cast("int").alias("min_level"),
+        F.max("high").cast("int").alias("max_level"),
+        bound(F.max("code")).alias("grow"),
+        F.min(F.least("source_x", "target_x")).alias("x0"),
+        F.min(F.least("source_y", "target_y")).alias("y0"),
+        F.max(F.greatest("source_x", "target_x")).alias("x1"),
+        F.max(F.greatest("source_y", "target_y")).alias("y1"),
+    )
+    return v.select("page_id", "visits", "min_level", "max_level", (c("x0") - c("grow")).alias("min_x"), (c("y0") - c("grow")).alias("min_y"), (c("x1") + c("grow")).alias("max_x"), (c("y1") + c("grow")).alias("max_y"))
+
+
 def vertex_counts(paged: DataFrame) -> DataFrame:
     return paged.select("page_id", F.explode(F.array("source", "target")).alias("node")).groupBy("page_id").agg(F.count_distinct("node").alias("vertex_count"))
 

@@ -301,10 +301,16 @@ def page_vertices(spark, sf_dir):
     return layout.vertex_counts(graph(spark, sf_dir).paged)
 
 
-@query(_RECORDS + _PLACED + ", b AS (SELECT p.page_id, p.sx, p.sy, p.tx, p.ty, CASE WHEN code = 0 THEN 0 ELSE least(1073741823, ceil(pow(2.0, code / 1024.0 - 40) * 536870912)) END AS g FROM paged p WHERE representative) SELECT page_id, count(*) AS visits FROM b GROUP BY page_id")
+_COVER = "s AS (SELECT edge, death AS lo, birth AS hi FROM coded UNION ALL SELECT edge, lo, hi FROM ctx), l AS (SELECT edge, min(lo) AS low, max(hi) AS high FROM s GROUP BY edge)"
+
+
+@query(_RECORDS + _PLACED + f""", {_COVER}, v AS (SELECT page_id, count(*) AS visits, min(low)::INT AS min_level, max(high)::INT AS max_level, max(code) AS worst, min(least(sx, tx)) AS x0, min(least(sy, ty)) AS y0, max(greatest(sx, tx)) AS x1, max(greatest(sy, ty)) AS y1
+  FROM paged LEFT JOIN l USING (edge) WHERE representative GROUP BY page_id),
+b AS (SELECT *, CASE WHEN worst = 0 THEN 0 ELSE least(1073741823, ceil(pow(2.0, worst / 1024.0 - 40) * 536870912)) END::BIGINT AS g FROM v)
+SELECT page_id, visits, min_level, max_level, x0 - g AS min_x, y0 - g AS min_y, x1 + g AS max_x, y1 + g AS max_y FROM b""")
 def visit_directory(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return cuts.grown_box(g.paged.where("representative")).groupBy("page_id").agg(F.count("*").alias("visits"))
+    return layout.visits(g.paged, hierarchy.cover(g.edges, g.contexts))
 
 
 @query(_RECORDS + _PLACED + "SELECT layer, octave, count(*) AS pages, sum(record_count)::BIGINT AS records, sum(CASE WHEN min_level > max_level THEN 1 ELSE 0 END)::BIGINT AS walk_only_pages FROM pages GROUP BY layer, octave")
