@@ -7,8 +7,9 @@ Training pages are rows (html, texts of the article's blocks); without any, `lab
 pages of many layouts from a seed, so the training set is bounded and the model the same everywhere.
 
 Edge cases: null, empty or text-free html gives an empty text; tags, quotes and comments left open, stray end tags and
-unknown references are taken as browsers do or left as text; pages are never cut; rows that repeat are extracted one by
-one; other columns are ignored.
+unknown references are taken as browsers do or left as text; an element left open hides nothing after its own tag, save
+script and style; the text of math and noscript is text; pages are never cut; rows that repeat are extracted one by one;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ TRAINING_PAGES = 800
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
-    r"|<(script|style|noscript|template|textarea|title|svg|iframe|object|select|math)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*+>|[^<]++|<",
     re.S | re.I,
@@ -35,13 +35,60 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 
-# Fixed values of HTML: elements that begin a block, and those without an end tag.
+# Fixed values of HTML: elements whose content is no markup, elements that hide their content, elements that begin a block,
+# those without an end tag, and those besides blocks that end an svg left open.
+RAW = {t: re.compile(rf"</{t}(?:[\s/][^>]*+)?>", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
+HIDING = frozenset(("svg", "object", "select", "template"))
+_HIDING = re.compile(r"<(?:svg|object|select|template)[\s/>]", re.I)
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul ins".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+BREAKOUT = BLOCK | frozenset("b big br code em embed head i img meta nobr ruby s small span strong strike sub sup tt u var".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset(("ul", "ol", "dl", "table", "body", "html", "div", "section", "article"))
 
 
+def tokens_of(page: str):
+    """The page's tokens without what lies in elements of RAW. One that is left open ends at its own tag, script and style at the page's end."""
+    at, open_ = 0, set()
+    while at < len(page):
+        for m in _TOKEN.finditer(page, at):
+            yield m
+            tag = m[2] and not m[1] and m[2].lower()
+            if tag in RAW and tag not in open_:
+                end = RAW[tag].search(page, m.end())
+                if not end and tag in ("script", "style"):
+                    return
+                if end:
+                    at = end.end()
+                    break
+                open_.add(tag)
+        else:
+            return
+
+
+def shown(tokens: list) -> list:
+    """Tokens without the content of elements of HIDING that have an end tag; their own start tag stays."""
+    opened: dict[str, list[int]] = {t: [] for t in HIDING}
+    until: dict[int, int] = {}
+    for i, m in enumerate(tokens):
+        if not m[2]:
+            continue
+        tag = m[2].lower()
+        if tag in HIDING:
+            if not m[1]:
+                if tag != "svg" or not m[0].endswith("/>"):
+                    opened[tag].append(i)
+            elif opened[tag]:
+                until[opened[tag].pop()] = i
+        elif tag in BREAKOUT:
+            opened["svg"].clear()
+    out, i = [], 0
+    while i < len(tokens):
+        out.append(tokens[i])
+        i = until.get(i, i) + 1
+    return out
+
+
 def leaf_blocks(page: str) -> list[tuple[str, int, list]]:
     """(text, characters inside links, ancestors as (tag, names)) of each block with text."""
     out: list[tuple[str, int, list]] = []
@@ -57,17 +104,15 @@ def leaf_blocks(page: str) -> list[tuple[str, int, list]]:
         text.clear()
         links = 0
 
-    for m in _TOKEN.finditer(page):
-        raw, tag = m[0], m[3]
+    found = tokens_of(page)
+    for m in shown(list(found)) if _HIDING.search(page) else found:
+        raw, tag = m[0], m[2]
         if not tag:
-            if m[1]:
-                if m[1].lower() in ("svg", "iframe", "object", "select", "textarea"):
-                    text.append(" ")
-            elif raw[0] != "<" or raw == "<":
+            if raw[0] != "<" or raw == "<":
                 text.append(raw)
                 links += len(raw) if link else 0
             continue
-        tag, end = tag.lower(), bool(m[2])
+        tag, end = tag.lower(), bool(m[1])
         if tag == "br":
             text.append(" ")
         elif tag == "a":
@@ -93,9 +138,9 @@ def leaf_blocks(page: str) -> list[tuple[str, int, list]]:
                 if stack[i][0] in SCOPE:
                     break
             if tag not in VOID:
-                found = [x.lower() for a in _ATTRIBUTE.finditer(m[4]) for x in _NAME.findall(a[2] or a[3] or a[4] or "")] if m[4] else ()
+                found = [x.lower() for a in _ATTRIBUTE.finditer(m[3]) for x in _NAME.findall(a[2] or a[3] or a[4] or "")] if m[3] else ()
                 stack.append((tag, tuple(found)))
-        elif tag in ("img", "input"):
+        elif tag in ("img", "input", "svg", "iframe", "object", "select", "textarea"):
             text.append(" ")
     close()
     return out

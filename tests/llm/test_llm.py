@@ -275,6 +275,24 @@ def test_extraction(spark):
     assert got[0] == got[1] == got[4] == got[5] == "" and got[8] == "a&b é &nope; x y" and got[9].count("one two three.") == 5000
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<svg-icon name=x></svg-icon><p>a b</p><svg><text>no</text></svg><p>c</p>", ["a b", "c"]),
+        ("<title-card>t</title-card><select-box></select-box><style-guide></style-guide><p>a</p>", ["t", "a"]),
+        ("<svg class=i/><p>a</p><svg/>b", ["a", "b"]),
+        ("<svg class=i><p>a</p><svg><svg><text>no</text></svg><text>no</text></svg><p>b</p></svg>c", ["a", "b", "c"]),
+        ("<object data=x><p>a</p><template><p>b</p><select><option>c<p>d</p>", ["a", "b", "c", "d"]),
+        ("<object><p>no</p></object><template><p>no</p></template><select><option>no</select><p>a</p>", ["a"]),
+        ("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> <noscript>be <b>so</b></noscript></p><math/><p>a</p>", ["let x=2 be so", "a"]),
+        ("<iframe src=x /><p>a</p><title><p>b</p><textarea><p>c</p>", ["a", "b", "c"]),
+        ("<script>'<p>no</p>'</script foo><p>a</p><textarea><p>no <!-- \"</textarea><p>b</p><style><p>no", ["a", "b"]),
+    ],
+)
+def test_leaf_blocks_hold_the_page(page, want):
+    assert [b[0] for b in html_crf.leaf_blocks(f"<article>{page}</article>")] == want
+
+
 def test_empty_tables(spark, docs, tmp_path):
     none = docs.limit(0)
     bitplane.write_ids(none, f"file://{tmp_path}/none", vocabulary(WORD))
