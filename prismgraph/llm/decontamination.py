@@ -9,7 +9,7 @@ text that shares a frame only by accident is not. A document is contaminated by
 least `share` of the item's windows.
 
 Edge cases: null or empty texts and items match nothing; items of fewer than LEAST literal words are not searched for;
-items of equal template count as the one of smallest id; documents are told apart by id and text, so repeated rows get
+items of equal template whose equal slots lie at the same places count as the one of smallest id; documents are told apart by id and text, so repeated rows get
 equal verdicts; with an empty benchmark every document is clean; other columns are ignored.
 """
 
@@ -119,7 +119,7 @@ def _found(canon: Canon, text: str, widths: list[int] | None, table: np.ndarray
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Stored: item_id, width, windows, hits. One item per template."""
+    """Stored: item_id, width, windows, hits. One item per template and pattern of equal slots."""
 
     def run(batches):
         canon = Canon()
@@ -130,7 +130,9 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
 
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
     done = items.mapInArrow(run, f"item_id long, width int, windows int, hits {_HITS}")
-    same = F.xxhash64(F.transform("hits", lambda x: x["hash"]))
+    # slots as places of their first occurrence: one-to-one correspondences exist for all items of a pattern or for none
+    slots = F.flatten(F.col("hits.slots"))
+    same = F.xxhash64("hits.hash", "hits.at", F.transform(slots, lambda x: F.array_position(slots, x)))
     best = done.groupBy(same.alias("template")).agg(F.min_by(F.struct("item_id", "width", "windows", "hits"), "item_id").alias("x"))
     return store(best.select("x.*"), "benchmark-windows")
 

@@ -261,6 +261,14 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontamination.find_leaks(docs, bench.limit(0)).collect())
 
 
+def test_items_of_one_template(spark):
+    q = "A farmer sold {} baskets at the market and then gave {} of them back to the old baker next door"
+    bench = spark.createDataFrame([(0, q.format(12, 12)), (1, q.format(8, 3)), (2, q.format(9, 4))], "item_id long, text string")
+    docs = spark.createDataFrame([(0, q.format(8, 3)), (1, q.format(7, 7)), (2, q.format(9, 4))], "doc_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.item_id) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert got == {0: (True, 1), 1: (True, 0), 2: (True, 1)}
+
+
 def test_extraction(spark):
     field = html_crf.default_field()
     wrong = total = 0
