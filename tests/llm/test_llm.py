@@ -269,6 +269,17 @@ def test_items_of_one_template(spark):
     assert got == {0: (True, 1), 1: (True, 0), 2: (True, 1)}
 
 
+def test_items_of_few_literal_words(spark):
+    items = ["What is 17 times 23?", "Who wrote Hamlet?", "Did Anna Marie Smith Meet John Paul Jones In Old York Town", "红楼梦的作者是谁?他生活在哪个朝代", "ใครเป็นผู้แต่งเรื่องนี้", "Yes", "1 2 3", "Count 12 13 14 15 16 17 18 and 19 20 21 22 23 24"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"some words before. {x} and words after it" for x in items[:3]] + [f"前面的文字{items[3]}后面的文字", f"คำ{items[4]}คำ"] + ["Yes 1 2 3 of course"] + ["x " + items[7], "What is 18 times 23?", "红楼梦是书", "Count 12 13 14 of them"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with pytest.warns(UserWarning, match="2 benchmark items"):
+        got = {r.doc_id: r.item_id for r in decontamination.find_leaks(docs, bench).collect()}
+    assert got == {**{i: i for i in range(5)}, 5: None, 6: 7, 7: None, 8: None, 9: None}
+    assert sorted(r.item_id for r in decontamination.unsearchable(bench).collect()) == [5, 6]
+
+
 def test_extraction(spark):
     field = html_crf.default_field()
     wrong = total = 0
