@@ -5,7 +5,8 @@ placeholders and keep their value as a slot; other words are lower-cased without
 tokens (all tokens of a shorter item) are hashed. A fixed-size bit table of the benchmark's window hashes passes the
 few windows of documents that may match; those meet the benchmark's in an equi-join. On each diagonal (offset between
 document and item) the slots must correspond one to one, so that a question with other numbers or names is caught and a
-text that shares a frame only by accident is not. Every window, of many literal words or few, is also hashed with its
+text that shares a frame only by accident is not. Where one value stands for several, the pair that holds at most of its
+places is kept; windows with other pairs do not count, unless their values equal the item's. Every window, of many literal words or few, is also hashed with its
 values in place and met by exact equality. A document is contaminated by an item if consistent diagonals and equal windows
 cover at least `share` of the item's windows, or of those with LEAST literal words. Characters of scripts that set no
 spaces are words of their own.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -112,12 +114,12 @@ def window_hashes(h: np.ndarray, k: np.ndarray, width: int) -> tuple[np.ndarray,
     return out, literal[width:] - literal[:-width] >= min(LEAST, width)
 
 
-_HITS = "array<struct<hash: long, at: int, ok: boolean, slots: array<string>>>"
-_HIT_TYPE = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("ok", pa.bool_()), ("slots", pa.list_(pa.string()))]))
+_HITS = "array<struct<hash: long, at: int, ok: boolean, places: array<int>, slots: array<string>>>"
+_HIT_TYPE = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("ok", pa.bool_()), ("places", pa.list_(pa.int32())), ("slots", pa.list_(pa.string()))]))
 
 
 def _found(canon: Canon, text: str, widths: list[int] | None, table: np.ndarray | None):
-    """Windows met by template (with slots) and by equality (slots null; of a window without slots, both are the same)."""
+    """Windows met by template (with slots, in items also their places) and by equality (slots null; of a window without slots, both are the same)."""
     h, k, n = canon.tokens(text)
     exact = canon.literal[n]
     hits = []
@@ -131,10 +133,11 @@ def _found(canon: Canon, text: str, widths: list[int] | None, table: np.ndarray
         if table is not None:
             by_template, by_value = ok & _in(table, w), by_value & _in(table, v)
         for p in np.flatnonzero(by_template):
-            slots = [f"{k[q]}:{canon.value[n[q]]}" for q in range(p, p + width) if k[q]]
-            hits.append({"hash": int(w[p].astype(np.int64)), "at": int(p), "ok": True, "slots": slots})
+            places = [q for q in range(int(p), int(p) + width) if k[q]]
+            slots = [f"{k[q]}:{canon.value[n[q]]}" for q in places]
+            hits.append({"hash": int(w[p].astype(np.int64)), "at": int(p), "ok": True, "places": places if table is None else None, "slots": slots})
         for p in np.flatnonzero(by_value):
-            hits.append({"hash": int(v[p].astype(np.int64)), "at": int(p), "ok": bool(ok[p]), "slots": None})
+            hits.append({"hash": int(v[p].astype(np.int64)), "at": int(p), "ok": bool(ok[p]), "places": None, "slots": None})
     return hits, n
 
 
@@ -241,12 +244,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, id_col
     # equal windows, per item
     equal = met.where(F.col("b.slots").isNull()).groupBy(*item).agg(F.collect_set(F.when(F.col("b.ok"), F.col("b.at"))).alias("ok_at"), F.collect_set(F.when(~F.col("b.ok"), F.col("b.at"))).alias("other_at"))
     # per family and diagonal: which of the item's windows were met, and which values stood for which
-    pairs = F.coalesce(F.arrays_zip(F.col("b.slots").alias("b"), F.col("d.slots").alias("d")), F.array().cast("array<struct<b: string, d: string>>"))
-    alike = met.where(F.col("b.slots").isNotNull()).groupBy(*item, (F.col("d.at") - F.col("b.at")).alias("diagonal")).agg(
-        F.collect_set("b.at").alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
-    )
-    one = lambda c: F.size(F.array_distinct(F.transform("pairs", lambda p: p[c])))
-    sound = alike.where((one("b") == F.size("pairs")) & (one("d") == F.size("pairs")))
+    alike = met.where(F.col("b.slots").isNotNull())
+    empty = F.array().cast("array<string>")
+    window = F.struct("b.at", "b.places", F.col("b.slots").alias("b"), F.coalesce("d.slots", empty).alias("d"))
+    alike = alike.groupBy(*item, (F.col("d.at") - F.col("b.at")).alias("diagonal")).agg(F.collect_set(window).alias("x"))
+    alike = alike.select(*item, "x.at", "x.places", "x.b", "x.d")
+
+    def judge(batches):
+        for b in batches:
+            at = [sound_windows(*x) for x in zip(*(b.column(c).to_pylist() for c in ("at", "places", "b", "d")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(item)], pa.array(at, pa.list_(pa.int32()))], names=[*item, "at"])
+
+    sound = alike.mapInArrow(judge, "key long, family long, family_id long, words long, windows int, frames int, at array<int>").where(F.size("at") > 0)
     frame = sound.groupBy(*item).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("frame_at"))
     # a family's windows count for each of its items that has equal windows, and for the one that stands for the family
     none = F.array().cast("array<int>")
@@ -261,5 +270,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, id_col
     return found.select("doc_id", "key").join(best, "key", "left").select("doc_id", "key", F.col("best").isNotNull().alias("contaminated"), "best.item_id", "best.met", "best.windows", F.coalesce("n_items", F.lit(0)).alias("n_items"))
 
 
+def sound_windows(at: list[int], places: list[list[int]], items: list[list[str]], docs: list[list[str]]) -> list[int]:
+    """Those windows of a diagonal whose values equal the item's, or whose pairs each hold at more than half of the places of either value."""
+    pairs = [list(zip(p, b, d, strict=True)) for p, b, d in zip(places, items, docs, strict=True)]
+    held = {p: (b, d) for some in pairs for p, b, d in some}
+    votes, of_item, of_doc = Counter(held.values()), Counter(b for b, _ in held.values()), Counter(d for _, d in held.values())
+    kept = {x for x, n in votes.items() if 2 * n > max(of_item[x[0]], of_doc[x[1]])}
+    return sorted({a for a, some in zip(at, pairs, strict=True) if all(b == d for _, b, d in some) or all((b, d) in kept for _, b, d in some)})
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
     return F.xxhash64(F.col(id_col).cast("long"), text_col)

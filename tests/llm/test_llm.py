@@ -280,6 +280,19 @@ def test_items_of_few_literal_words(spark):
     assert sorted(r.item_id for r in decontamination.unsearchable(bench).collect()) == [5, 6]
 
 
+def test_near_copies_of_long_items(spark):
+    rng = random.Random(9)
+    filler = lambda: " ".join("".join(rng.choice(["ba", "ke", "to", "mi", "ru"]) for _ in range(4)) for _ in range(9))
+    item = " ".join(f"{filler()} then Maria took 12 of them" for _ in range(5))
+    last = lambda a, b, t: b.join(t.rsplit(a, 1))
+    other = item.replace("Maria", "Pedro").replace("12", "7")
+    twice = "one sold 12 of the red and old hats to the man who then gave 12 of the hats to the boy at the old gate and went on his way to the sea"
+    texts = [last("Maria", "Marta", item), last("12", "13", item), last("12", "13", last("Maria", "Marta", item)), other, last("7", "8", other), last("12", "13", twice)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item), (1, twice)], "item_id long, text string")
+    assert {r.doc_id: r.item_id for r in decontamination.find_leaks(docs, bench).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
+
+
 def test_extraction(spark):
     field = html_crf.default_field()
     wrong = total = 0
