@@ -6,12 +6,14 @@ carries the rest as deficit into the next window; slots that are left go to the
 repeats after CYCLE windows, so the state before any window follows by arithmetic: partitions far apart carry the same
 deficits without talking to each other. Where a queue runs dry within a round, that window is dealt alone and the next
 phase begins with the queues that are left. Without targets the shares are those of the remaining tokens, so all queues
-end together.
+end together. More than max_queues sources form a tree of at most so many children a node: each node deals its children
+by such rounds into a stream that is one queue of the node above, so small sources are spread over all windows as well.
+A round of a node deals what its sources have of a window, or a token for each child where that is more.
 
 Tokens are never moved between partitions: a document's place in its queue gives the windows its tokens lie in.
 
-Edge cases: a null or empty text has the end id alone; a null source is a queue of its own; of more than max_queues
-sources the smallest share one queue; rows that share an id are kept; an empty table gives no pieces. A window's last
+Edge cases: a null or empty text has the end id alone; a null source is a queue of its own; sources
+named in targets hang at the root, however many; rows that share an id are kept; an empty table gives no pieces. A window's last
 slots stay empty only in the very last window, or in none.
 """
 
@@ -30,6 +32,8 @@ from .common import offsets, parts, store
 from .tokens import encoder, in_chunks
 
 CYCLE = 256
+#: Windows whose tables are in memory at once.
+AT_ONCE = 8192
 
 
 @cache
@@ -115,7 +119,7 @@ class Schedule:
     def __init__(self, phases: list[Phase], window: int):
         self.phases, self.window = phases, window
         self.first = np.array([p.first for p in phases])
-        self.base = np.array([p.base for p in phases]).reshape(len(phases), -1)
+        self.base = np.array([p.base for p in phases]).reshape(len(phases), len(phases[0].base) if phases else 0)
 
     def given(self, w: np.ndarray) -> np.ndarray:
         """What every queue has given before each window, [windows, queues]."""
@@ -134,13 +138,75 @@ class Schedule:
         turns, rest = divmod(x, int(table[-1]))
         return p.first + turns * p.cycle + int(np.searchsorted(table, rest, "right")) - 1
 
-    def cut(self, queue: int, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The windows that hold positions start..end-1 of a queue: their numbers, first positions there, and slots."""
-        w = np.arange(self.window_of(queue, start), self.window_of(queue, end - 1) + 2)
-        given = self.given(w)
-        taken = np.diff(given, axis=0)
-        keep = taken[:, queue] > 0
-        return w[:-1][keep], given[:-1, queue][keep], taken[:, :queue].sum(axis=1)[keep]
+    def windows_of(self, queue: int, positions: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.base[:, queue], positions, "right") - 1
+        out = np.empty(len(positions), dtype=np.int64)
+        for k in np.unique(at):
+            p, rows = self.phases[k], at == k
+            table = p.table(self.window)[:, queue]
+            turns, rest = np.divmod(positions[rows] - self.base[k, queue], table[-1])
+            out[rows] = p.first + turns * p.cycle + np.searchsorted(table, rest, "right") - 1
+        return out
+
+    def cut(self, queue: int, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The pieces that windows cut positions start..end-1 of a queue into: their range's number, window, first position, slot and length."""
+        first, last = self.windows_of(queue, start), self.windows_of(queue, end - 1)
+        out = []
+        lo = 0
+        while lo < len(start):  # a bounded number of windows at a time, or one range
+            n = np.cumsum(last[lo:] - first[lo:] + 1)
+            some = slice(lo, lo + max(1, int(np.searchsorted(n, AT_ONCE, "right"))))
+            count = last[some] - first[some] + 1
+            number = np.repeat(np.arange(some.start, some.start + len(count)), count)
+            w = np.arange(len(number)) - np.repeat(np.cumsum(count) - count, count) + first[number]
+            given = self.given(w)
+            taken = self.given(w + 1) - given
+            a, b = np.maximum(given[:, queue], start[number]), np.minimum(given[:, queue] + taken[:, queue], end[number])
+            slot = taken[:, :queue].sum(axis=1) + a - given[:, queue]
+            out.append([x[b > a] for x in (number, w, a, slot, b - a)])
+            lo += len(count)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+class Tree:
+    """Schedules of nodes, and for each source the (node, queue there) from its own to the root."""
+
+    def __init__(self, nodes: list[tuple[list[Phase], int]], paths: list[list[tuple[int, int]]]):
+        self.schedules, self.paths, self.window = [Schedule(*x) for x in nodes], paths, nodes[-1][1]
+
+    def cut(self, source: int, start: int, end: int) -> tuple[np.ndarray, ...]:
+        """The pieces of positions start..end-1 of a source, in order: first positions, windows, slots and lengths."""
+        at, stream, length = (np.array([x], dtype=np.int64) for x in (start, start, end - start))
+        for node, queue in self.paths[source]:
+            number, w, a, slot, n = self.schedules[node].cut(queue, stream, stream + length)
+            at, stream, length = at[number] + a - stream[number], w * self.schedules[node].window + slot, n
+        return at, stream // self.window, stream % self.window, length
+
+
+def tree(amounts: list[int], window: int, targets: list[float] | None, max_queues: int, named: int = 0) -> Tree:
+    """amounts: tokens of each source, those named in targets first, then from the largest to the smallest."""
+    nodes: list[tuple[list[Phase], int]] = []
+    whole = sum(amounts[named:])
+    paths: list[list[tuple[int, int]]] = [[] for _ in amounts]
+
+    def node(members: list[tuple[int, list[int]]], window: int, shares: list[float] | None = None) -> None:
+        """Makes a node of (tokens, sources)."""
+        for i, (_, sources) in enumerate(members):
+            for x in sources:
+                paths[x].append((len(nodes), i))
+        nodes.append((plan([n for n, _ in members], window, shares), window))
+
+    own = max(named, max_queues - 1) if len(amounts) > max(named, max_queues) else len(amounts)
+    pool = [(n, [i]) for i, n in enumerate(amounts)][own:]
+    while len(pool) > 1:
+        groups = -(-len(pool) // max_queues)
+        dealt = [pool[i::groups] for i in range(groups)]
+        for members in dealt:
+            node(members, max(len(members), window * sum(n for n, _ in members) // whole))
+        pool = [(sum(n for n, _ in members), [x for _, some in members for x in some]) for members in dealt]
+    root = [(n, [i]) for i, n in enumerate(amounts[:own])] + pool
+    node(root, window, targets and [*targets[:own], *[0.0] * len(pool)])
+    return Tree(nodes, paths)
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, queue_col: str) -> DataFrame:
@@ -178,27 +244,24 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024, t
     """
     done = tokenize(docs, tokenizer, end_id, id_col, text_col, queue_col)
     totals = done.groupBy("queue").agg(F.sum("n").alias("n"))
-    large = totals.orderBy(F.desc("n"), "queue").limit(max_queues).collect()
-    names = {r.queue: i for i, r in enumerate(large)}
-    rest = totals.agg(F.count("*").alias("queues"), F.sum("n").alias("n")).first()
-    pooled = rest.queues > len(large)
-    amounts = [r.n for r in large] + ([rest.n - sum(r.n for r in large)] if pooled else [])
-    shares = [float(targets.get(q, 0)) for q in names] + [0.0] * pooled if targets else None
-    phases = plan(amounts, window, shares)
-    # queue numbers: a join with at most max_queues rows
+    ranked = sorted(totals.collect(), key=lambda r: (r.queue not in (targets or {}), -r.n, r.queue is not None, r.queue or ""))  # a row per source
+    names = [r.queue for r in ranked]
+    shares = [float(targets.get(q, 0)) for q in names] if targets else None
+    sources = tree([r.n for r in ranked], window, shares, max_queues, sum(q in (targets or {}) for q in names))
+    nodes, paths = [(x.phases, x.window) for x in sources.schedules], sources.paths
+    # queue numbers: a join with a row per source
     spark = docs.sparkSession
-    numbers = spark.createDataFrame([(q, i) for q, i in names.items()], "queue string, number int")
+    numbers = spark.createDataFrame([(q, i) for i, q in enumerate(names)], "queue string, number int")
     sizes = done.groupBy("queue", "shard").agg(F.sum("n").alias("n"))
-    sizes = sizes.join(F.broadcast(numbers), sizes["queue"].eqNullSafe(numbers["queue"]), "left").select(sizes["queue"], "shard", "n", F.coalesce("number", F.lit(len(names))).alias("number"))
-    # several pooled queues may stand in one shard, so the order within a number is (shard, queue)
-    base = offsets(sizes.withColumn("place", F.struct("shard", "queue")), "place", "n", "base", ("number",)).drop("n", "place")
+    sizes = sizes.join(F.broadcast(numbers), sizes["queue"].eqNullSafe(numbers["queue"]), "left").select(sizes["queue"], "shard", "n", "number")
+    base = offsets(sizes, "shard", "n", "base", ("number",)).drop("n")
     named = base.withColumnRenamed("queue", "q").withColumnRenamed("shard", "s")
     # a row per shard and queue: small unless there are very many sources
-    named = F.broadcast(named) if rest.queues <= 100_000 else named
+    named = F.broadcast(named) if len(names) <= 100_000 else named
     placed = done.join(named, done["queue"].eqNullSafe(named["q"]) & (done["shard"] == named["s"])).select("doc_id", "number", (F.col("base") + F.col("at")).alias("position"), "n", "ids")
 
     def run(batches):
-        schedule = Schedule(phases, window)
+        sources = Tree(nodes, paths)
         for b in batches:
             ids, doc = b.column("ids").to_pylist(), b.column("doc_id")
             queue, position, n = (b.column(c).to_numpy() for c in ("number", "position", "n"))
@@ -208,8 +271,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024, t
                 if lo == hi:
                     continue
                 first, last = int(position[lo]), int(position[hi - 1] + n[hi - 1])
-                w, at, slot = schedule.cut(int(queue[lo]), first, last)
-                cuts = np.union1d(np.maximum(at, first), position[lo:hi])
+                at, w, slot, _ = sources.cut(int(queue[lo]), first, last)
+                cuts = np.union1d(at, position[lo:hi])
                 ends = np.append(cuts[1:], last)
                 d = np.searchsorted(position[lo:hi], cuts, "right") - 1 + lo
                 k = np.searchsorted(at, cuts, "right") - 1

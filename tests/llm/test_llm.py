@@ -123,6 +123,37 @@ def test_rounds_keep_proportions():
     assert abs(share[100:] - np.array([0.7, 0.2, 0.099, 0.001, 0])).max() < 0.001
 
 
+def test_many_sources_keep_proportions():
+    amounts = sorted([50_000] * 3 + [700 + 7 * i for i in range(60)] + [3], reverse=True)
+    window, n = 256, sum(amounts)
+    made = packing.tree(amounts, window, None, 4)
+    assert max(len(s.phases[0].credits) for s in made.schedules) <= 4
+    slots, late = [], []
+    for i, x in enumerate(amounts):
+        at, w, slot, length = made.cut(i, 0, x)
+        assert (at == np.cumsum(length) - length).all() and length.sum() == x
+        slots += [np.arange(a, a + k) for a, k in zip(w * window + slot, length, strict=True)]
+        if x > 600:  # in every part of the windows, its share
+            part = np.bincount(w * 8 // (n // window + 1), weights=length, minlength=8) / x
+            late.append(abs(part - 0.125).max())
+    assert (np.sort(np.concatenate(slots)) == np.arange(n)).all() and max(late) < 0.02
+
+
+@pytest.mark.parametrize("targets", [None, {"s2": 0.75, "s1": 0.25}])
+def test_packing_with_more_sources_than_queues(docs, rows, targets):
+    got = packing.pack(docs, vocabulary(BYTE), window=64, targets=targets, max_queues=2).collect()
+    lengths = {}
+    taken = sorted((p.sequence_id * 64 + p.offset, p.length) for p in got)
+    assert [a for a, _ in taken] == [0, *np.cumsum([n for _, n in taken])[:-1].tolist()]
+    for p in got:
+        lengths.setdefault(p.doc_id, []).append((p.start, p.length, p.doc_tokens))
+    assert all(sum(n for _, n, _ in v) == v[0][2] for d, v in lengths.items() if d not in (3, None))
+    if targets:
+        of = {r[0]: r[3] for r in rows if r[0] not in (3, None)}
+        first = {s: sum(p.length for p in got if p.sequence_id == 1 and of.get(p.doc_id) == s) for s in ("s0", "s1", "s2")}
+        assert first["s0"] == 0 and first["s1"] > 8 and first["s2"] > 40
+
+
 def test_resharding(docs, rows):
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
     every, sizes, within, report = resharding.reshard(docs.select("doc_id", "text"), 3, 5, size, min_blocks=24)
