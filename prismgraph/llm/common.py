@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,40 @@ def store(df: DataFrame, name: str, codec: str = "zstd", partition_by: tuple[str
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(run):
+    """A function of Arrow batches, as one whose task gives its memory back to the machine when it ends.
+
+    Python workers live on for the next task; without this they keep what the largest batch of any stage took.
+    """
+
+    def of(batches):
+        yield from run(batches)
+        give_back()
+
+    return of
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, or with underscores before it what no column is called yet (Spark's names ignore case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
