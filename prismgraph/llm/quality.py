@@ -4,7 +4,9 @@ Words are runs of anything but space and the controls tab to carriage return. TH
 largest value that pass, and the number of words from which the rule holds; compile_rules turns the rows into one
 Column. Nothing is shuffled, nothing leaves the JVM.
 
-Edge cases: a null or empty text has no words and fails the base; texts of any length are taken whole.
+Edge cases: a null or empty text has no words and fails the base; texts of any length are taken whole; rows that repeat
+are rated one by one; an empty table gives no rows. Columns of the input whose names `rate` gives to its own are replaced;
+`passes` is a predicate and leaves all columns as they are.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let
+from .common import SPACES, fresh, let
 
 # Stop words of English, French, Spanish and German.
 STOP_WORDS = (
@@ -66,9 +68,9 @@ def compile_rules(values: dict[str, Column], n_words: Column, table=None) -> Col
     return reduce(lambda a, b: a & b, checks, F.lit(True))
 
 
-def rate(docs: DataFrame, table=None, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept in one projection."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def measured(text: Column) -> Column:
+    """What the rules read of a text, as one struct."""
+    text = F.coalesce(text, F.lit(""))
     stop = sorted({y for x in STOP_WORDS for y in (x, x.capitalize())})
 
     def measures(words: Column) -> Column:
@@ -85,25 +87,39 @@ def rate(docs: DataFrame, table=None, text_col: str = "text") -> DataFrame:
             F.size(F.filter(words, lambda x: x.rlike("^\\P{Ll}*\\p{Lu}\\P{Ll}*\\p{Lu}\\P{Ll}*$"))).alias("upper"),
         )
 
-    words = F.filter(F.split(text, SPACES), lambda x: x != "")
-    m = docs.withColumn("m", let(words, measures))
-    n = F.col("m.n_words")
-    over = lambda c, d=n: F.when(d > 0, F.col(c) / d)
+    return let(F.filter(F.split(text, SPACES), lambda x: x != ""), measures)
+
+
+def judged(m: Column, table=None) -> dict[str, Column]:
+    """The columns of `rate` from what was measured."""
+    n = m["n_words"]
+    over = lambda c, d=n: F.when(d > 0, c / d)
     values = {
-        "mean_word_length": over("m.word_chars"),
-        "symbols_per_word": over("m.n_symbols"),
-        "exclamations_per_word": over("m.exclamations"),
-        "upper_case_words": over("m.upper"),
-        "stop_words": over("m.stop"),
-        "duplicate_lines": over("m.lines.dup", F.col("m.lines.n")),
+        "mean_word_length": over(m["word_chars"]),
+        "symbols_per_word": over(m["n_symbols"]),
+        "exclamations_per_word": over(m["exclamations"]),
+        "upper_case_words": over(m["upper"]),
+        "stop_words": over(m["stop"]),
+        "duplicate_lines": over(m["lines"]["dup"], m["lines"]["n"]),
     }
-    failed = (n < 10) | (100 * F.col("m.n_repeat_words") > 20 * n)
-    return m.withColumns({
+    failed = (n < 10) | (100 * m["n_repeat_words"] > 20 * n)
+    return {
         "n_words": n,
-        "word_chars": F.col("m.word_chars"),
-        "n_symbols": F.col("m.n_symbols"),
-        "n_dup_lines": F.col("m.lines.dup").cast("long"),
-        "n_repeat_words": F.col("m.n_repeat_words"),
+        "word_chars": m["word_chars"],
+        "n_symbols": m["n_symbols"],
+        "n_dup_lines": m["lines"]["dup"].cast("long"),
+        "n_repeat_words": m["n_repeat_words"],
         "base_failed": failed,
         "kept": ~failed & compile_rules(values, n, table),
-    }).drop("m")
+    }
+
+
+def passes(text: Column, table=None) -> Column:
+    """Whether a text passes the base rules and every row of the table."""
+    return let(measured(text), lambda m: judged(m, table)["kept"])
+
+
+def rate(docs: DataFrame, table=None, text_col: str = "text") -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept in one projection."""
+    name = fresh("measured", docs.columns)
+    return docs.withColumn(name, measured(F.col(text_col))).withColumns(judged(F.col(name), table)).drop(name)
