@@ -9,7 +9,7 @@ pages of many layouts from a seed, so the training set is bounded and the model
 Edge cases: null, empty or text-free html gives an empty text; tags, quotes and comments left open, stray end tags and
 unknown references are taken as browsers do or left as text; an element left open hides nothing after its own tag, save
 script and style; the text of math and noscript is text; pages are never cut; rows that repeat are extracted one by one;
-other columns are ignored.
+an empty table gives no rows. The other columns stay beside text and n_chars, which replace columns of those names.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 TRAINING_PAGES = 800
 
 _TOKEN = re.compile(
@@ -376,10 +378,10 @@ def main_text(page: str | None, field: Field) -> str:
     return "\n\n".join(b[0] for b, keep in zip(blocks, labels, strict=True) if keep)
 
 
-def extract(pages: DataFrame, field: Field | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, field: Field | None = None, html_col: str = "html") -> DataFrame:
     """Adds text and n_chars to the other columns of every page; the html column goes. No shuffle."""
     model = field or default_field()
-    kept = pages.select(*[c for c in pages.columns if c != html_col], F.col(html_col).alias(html_col))
+    kept = pages.select(*[c for c in pages.columns if c.lower() not in (html_col.lower(), "text", "n_chars")], F.col(html_col).alias(html_col))
 
     def run(batches):
         for b in batches:
@@ -387,4 +389,4 @@ def extract(pages: DataFrame, field: Field | None = None, id_col: str = "page_id
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*b.schema.names[:-1], "text", "n_chars"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return kept.mapInArrow(released(run), f"{kinds}, text string, n_chars long")
