@@ -19,7 +19,7 @@ from prismgraph.llm.queries import vocabulary
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the threshold table."""
-    return quality.rate(docs).where("kept").select(*docs.columns)
+    return docs.where(quality.passes(F.col("text")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
