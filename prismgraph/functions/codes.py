@@ -36,7 +36,11 @@ def bound(code: Column) -> Column:
 
 
 def level_band(level: Column, lo: Column, hi: Column) -> Column:
-    return F.expr("int(1)") * F.floor((level - lo) * BANDS / (hi - lo + 1)).cast("int")
+    return F.floor((level - lo) * BANDS / (hi - lo + 1)).cast("int")
+
+
+def band_code(code: Column) -> Column:
+    return F.shiftright(code, 8)
 
 
 def in_range(level, lo: Column, hi: Column) -> Column:
@@ -54,10 +58,11 @@ def _spread(v: Column) -> Column:
     return v
 
 
-def morton(x: Column, y: Column) -> Column:
-    """Interleaved 16-bit coordinates of fixed-point values within 2^30 of zero, x in the even bits."""
-    cell = lambda c: F.greatest(F.lit(0), F.least(F.lit(65535), F.shiftright(c + (1 << 30), 15))).cast("long")
-    return _spread(cell(x)).bitwiseOR(F.shiftleft(_spread(cell(y)), 1))
+def interleaved(x: Column, y: Column, box: tuple[int, int, int, int]) -> Column:
+    """Morton code: 16 bits of each coordinate's share of the box, x in the even bits."""
+    x0, y0, x1, y1 = box
+    cell = lambda v, lo, hi: F.greatest(F.lit(0.0), F.least(F.lit(65535.0), (v - float(lo)) * (65535.0 / max(1.0, float(hi) - lo)))).cast("long")
+    return _spread(cell(x, x0, x1)).bitwiseOR(F.shiftleft(_spread(cell(y, y0, y1)), 1))
 
 
 def record_key(layer: Column, octave: Column, code: Column) -> Column:
@@ -81,14 +86,21 @@ def step_pixels(step: Column) -> Column:
     return F.pow(F.lit(2.0), step / 4)
 
 
+def nearest_step(pixels: Column) -> Column:
+    """The step nearest to a tolerance in pixels."""
+    return F.greatest(F.lit(0), F.least(F.lit(TOLERANCE_STEPS - 1), F.round(4 * log2(F.greatest(pixels.cast("double"), F.lit(1e-3)))))).cast("int")
+
+
+def step_of_threshold(threshold: Column, pixel_code: Column) -> Column:
+    return F.round((threshold - pixel_code) / CODES_PER_TOLERANCE_STEP).cast("int")
+
+
+def class_depth(index: Column, classes: Column) -> Column:
+    """Depth of a style class: those listed first lie on top."""
+    return (index + 1) / (classes + 1)
+
+
 def hex_colour(text: Column) -> Column:
     """#RRGGBB or #RRGGBBAA as four numbers in 0..1; null if malformed."""
     part = lambda i: F.conv(F.substring(text, i, 2), 16, 10).cast("double") / 255
     return F.when(text.rlike("^#([0-9a-fA-F]{6}|[0-9a-fA-F]{8})$"), F.array(part(2), part(4), part(6), F.when(F.length(text) == 9, part(8)).otherwise(1.0)))
-
-
-def continuous_level(zoom: Column, overview: float, end: float, lo: int, hi: int) -> Column:
-    """Level of detail of a zoom: 8/9 of the range at the overview, falling to the finest at the end of the mapped zooms."""
-    z = F.greatest(F.lit(overview), F.least(F.lit(end), zoom))
-    part = F.log2(z / overview) / float(__import__("math").log2(end / overview))
-    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), lo + 8.0 / 9.0 * (1 - F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), part)), 1.35)) * (hi - lo)))

@@ -1,35 +1,16 @@
-"""A hierarchy of roads derived from the events table: chains of 64 edges under binary trees of shortcuts, depth 6."""
+"""A hierarchy of roads derived from the events table: chains of 64 edges under binary trees of shortcuts, depth 6.
 
-from __future__ import annotations
+65 events make a chain; those that are left (up to 64) make none.
+"""
 
-import tempfile
-import uuid
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEIGHT = 6
-
+from prismgraph.sources.tables import numbered
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write below the shared checkpoint folder (or, in one local process, a folder of this machine) and read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="prismgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Number of each row in the order of a key, from 0: rows are ranged, and partitions know the counts before them."""
-    ranged = stored(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "numbered")
-    before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = ranged.groupBy("_part").count().select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return ranged.join(F.broadcast(counts), "_part").withColumn(name, (within + F.col("_before")).cast("long")).drop("_part", "_before")
+HEIGHT = 6
 
 
 def nodes_and_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

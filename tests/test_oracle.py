@@ -37,10 +37,6 @@ def test_same_rows(spark, duck, name):
     assert table(df.columns, [tuple(x) for x in df.collect()]) == table([d[0] for d in r.description], r.fetchall())
 
 
-def test_expansions_agree(spark):
-    rows = {r.expansion: (r.n, r.edges) for r in entry.queries()["expansion_matrix"](spark, DATA).collect()}
-    assert len({rows[k] for k in ("adaptive_dfs", "adaptive_bfs", "persistent_queue", "workgroup_queue", "dual_interval")}) == 1
-
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
