@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import offsets, parts
+from .common import offsets, parts, released
 from .tokens import encoder, in_chunks
 
 SCHEMA = (
@@ -106,7 +106,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
     rows = rows.repartitionByRange(parts(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    rows.mapInArrow(_writer(tokenizer, end_id, block, mode), SCHEMA).write.option("compression", "none").parquet(path)
+    rows.mapInArrow(released(_writer(tokenizer, end_id, block, mode)), SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -122,7 +122,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 pieces = [raw[4 * s : 4 * (s + n)] for s, n in zip(x["starts"], x["lengths"], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x["doc_ids"], pa.int64()), pa.array([x["shard"]] * len(pieces), pa.int32()), pa.array(x["rows"], pa.int64()), pa.array([x["first"] + s for s in x["starts"]], pa.int64()), pa.array(pieces, pa.binary())], schema=schema)
 
-    pieces = blocks.mapInArrow(read, "doc_id long, shard int, row long, first long, ids binary")
+    pieces = blocks.mapInArrow(released(read), "doc_id long, shard int, row long, first long, ids binary")
     base = offsets(blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")), "shard", "n", "base").select("shard", "base")
     return pieces.join(base, "shard").select("doc_id", "shard", "row", (F.col("base") + F.col("first")).alias("start"), "ids")
 
@@ -171,6 +171,6 @@ def documents_of(pieces: DataFrame) -> DataFrame:
 
         return pd.Series(out, dtype="int64")
 
-    found = pieces.mapInArrow(digest, "doc_id long, shard int, row long, start long, size long, crc long")
+    found = pieces.mapInArrow(released(digest), "doc_id long, shard int, row long, start long, size long, crc long")
     docs = found.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), (F.sum("size") / 4).cast("long").alias("n_tokens"), F.collect_list(F.struct("start", "size", "crc")).alias("pieces"))
     return docs.select("doc_id", "start", "n_tokens", joined("pieces").alias("ids_crc32"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import offsets, parts, store
+from .common import offsets, parts, released, store
 from .tokens import encoder, in_chunks
 
 CYCLE = 256
@@ -234,7 +234,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
                 n = part.stop - part.start
                 yield pa.RecordBatch.from_arrays([b.column(0)[part], b.column(1)[part], pa.array([shard] * n, pa.int32()), pa.array(ats, pa.int64()), pa.array(ns, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "queue", "shard", "at", "n", "ids"])
 
-    return store(rows.mapInArrow(run, "doc_id long, queue string, shard int, at long, n long, ids binary"), "packing-ids")
+    return store(rows.mapInArrow(released(run), "doc_id long, queue string, shard int, at long, n long, ids binary"), "packing-ids")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024, targets: dict[str, float] | None = None, max_queues: int = 256, payload: bool = True, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source") -> DataFrame:
@@ -284,4 +284,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024, t
                     cols, names_ = [*cols, pa.array([bytes(v) for v in views], pa.binary())], [*names_, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names=names_)
 
-    return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * payload)
+    return placed.mapInArrow(released(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * payload)

@@ -16,8 +16,9 @@ from itertools import islice
 
 import numpy as np
 
-#: Entries of a worker's cache. When full, the half that came last goes: frequent units come early.
-CACHE_UNITS = 500_000
+#: Entries of a worker's cache, and characters of the longest unit in it: some 50 MB. When full, the half that came last
+#: goes: frequent units come early.
+CACHE_UNITS, CACHE_CHARS = 200_000, 64
 
 #: Outside of these characters, or with a sign that NFC or lower case may join to its neighbour, no cutting.
 _STRANGE = re.compile("[^\\t\\n\\r\x20-\x7e\xa1-įı-ňŊ-ǃǍ-ǯǴ-ɏ‐-―‘-‟•…€]")
@@ -54,11 +55,11 @@ class Encoder:
         self.library = _library(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
-        spec = json.loads(self.library.to_str())
-        steps = spec["normalizer"]["normalizers"] if (spec["normalizer"] or {}).get("type") == "Sequence" else [spec["normalizer"] or {}]
+        normalizer, before = (json.loads(x.__getstate__()) if x else {} for x in (self.library.normalizer, self.library.pre_tokenizer))
+        steps = normalizer["normalizers"] if normalizer.get("type") == "Sequence" else [normalizer]
         self.lower = any(x.get("type") == "Lowercase" for x in steps)
         # a vocabulary that drops white space needs no units for it
-        before = spec["pre_tokenizer"].get("pretokenizers", [])
+        before = before.get("pretokenizers", [])
         self.drops = any(x.get("type") == "Split" and x["behavior"] == "Removed" and x["invert"] for x in before)
         self.model = self.library.model
 
@@ -69,10 +70,10 @@ class Encoder:
         text = text.lower() if self.lower else text
         return (_COARSE if "'" in text else _NO_SPACE if self.drops else _FINE).findall(text)
 
-    def learn(self, units: list[str]) -> None:
+    def learn(self, units: list[str], cache: dict[str, bytes]) -> None:
         """Runs of letters are pre-tokens as they stand, once their bytes (and a space before them) are spelled in the
         vocabulary's letters, so the library's model takes them alone; all other units go through the whole library."""
-        cache, rest, letters = self.cache, [], byte_letters()
+        rest, letters = [], byte_letters()
         tokenize = self.model.tokenize
         for u in units:
             word = u[1:] if u[0] == " " else u
@@ -82,23 +83,30 @@ class Encoder:
                 cache[u] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(piece)])
             else:
                 rest.append(u)
-        for i in range(0, len(rest), 1024):
-            some = rest[i : i + 1024]
-            for unit, e in zip(some, self.library.encode_batch(some, add_special_tokens=False), strict=True):
-                cache[unit] = np.array(e.ids, dtype="<u4").tobytes()
+        for unit, ids in zip(rest, self.ids_of(rest), strict=True):
+            cache[unit] = ids.tobytes()
+
+    def ids_of(self, texts: list[str]):
+        """The library's ids of each text, some at a time: its encodings take far more room than their ids."""
+        for part in in_chunks(texts, 200_000):
+            for e in self.library.encode_batch_fast(texts[part], add_special_tokens=False):
+                yield np.array(e.ids, dtype="<u4")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.units(t) for t in texts]
         if len(self.cache) > CACHE_UNITS:
             self.cache = dict(islice(self.cache.items(), CACHE_UNITS // 2))
-        self.learn(list(set().union(*filter(None, cut)).difference(self.cache)))
         cache = self.cache
+        new = set().union(*filter(None, cut)).difference(cache)
+        long = [u for u in new if len(u) > CACHE_CHARS]
+        self.learn(list(new.difference(long)), cache)
+        self.learn(long, cache)
         whole = [t for t, units in zip(texts, cut, strict=True) if units is None]
-        rest = iter(self.library.encode_batch(whole, add_special_tokens=False)) if whole else iter(())
-        return [
-            np.frombuffer(b"".join(map(cache.__getitem__, units)), dtype="<u4") if units is not None else np.array(next(rest).ids, dtype="<u4")
-            for units in cut
-        ]
+        rest = self.ids_of(whole)
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, units)), dtype="<u4") if units is not None else next(rest) for units in cut]
+        for u in long:
+            del cache[u]
+        return out
 
 
 @lru_cache(maxsize=4)
