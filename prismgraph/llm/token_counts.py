@@ -3,13 +3,17 @@
 Distinct pre-tokens of a batch stand in one flat array of symbols. In each round every sequence merges all
 occurrences of its lowest-ranked pair at once (from the left, without overlap); sequences without a pair to merge
 leave. A merge makes pairs of higher rank only, so this is the order in which the library merges. What remains is
-counted, per distinct piece, and summed per text through a bounded cache.
+counted, per distinct piece, and summed per text through a bounded cache. A piece of n symbols takes up to n rounds, so
+those above LONG are merged rank by rank over linked arrays instead, where a round touches the places of one rank alone:
+their work grows with the merges made, not with symbols times rounds.
 
-Edge cases: a null or empty text has 0 tokens; strings of added tokens count 1, as the library takes them by default.
+Edge cases: a null or empty text has 0 tokens; strings of added tokens count 1, as the library takes them by default;
+texts and unbroken runs of any length are counted whole.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 from itertools import islice
@@ -19,7 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import _COARSE, _FINE, _STRANGE, CACHE_UNITS, byte_letters, in_chunks
+from .common import released
+from .tokens import _COARSE, _FINE, _STRANGE, CACHE_CHARS, CACHE_UNITS, byte_letters, in_chunks
+
+#: Symbols of a piece above which it is merged rank by rank.
+LONG = 512
 
 #: The pre-tokenizer's pattern of byte-level BPE, a fixed value of the format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,14 +54,77 @@ class Counter:
 
     def symbols(self, pieces: list[bytes]) -> np.ndarray:
         """Symbols left of each piece after all merges."""
+        out = np.zeros(len(pieces), dtype=np.int64)
+        long = np.array([len(p) > LONG for p in pieces], dtype=bool)
+        for some, merged in ((np.flatnonzero(~long), self.by_round), (np.flatnonzero(long), self.by_rank)):
+            if len(some):
+                out[some] = merged([pieces[i] for i in some])
+        return out
+
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], len(self.ranks))
+
+    def by_rank(self, pieces: list[bytes]) -> np.ndarray:
+        """All places of one rank at a time, from the lowest; symbols are linked to their neighbours by position."""
+        none = len(self.ranks)
+        left = np.array([len(p) for p in pieces], dtype=np.int64)
+        ids = self.bytes[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        n, ends = len(ids), np.cumsum(left)
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), left)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = before[ends - left] = -1
+        rank = np.append(self.rank_of(ids[:-1], ids[1:]), none)
+        rank[after < 0] = none
+        places: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            at = at[rank[at] < none]
+            at = at[np.argsort(rank[at], kind="stable")]
+            r = rank[at]
+            cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
+            for k, some in zip(r[np.append(0, cuts)].tolist() if len(r) else (), np.split(at, cuts), strict=len(r) > 0):
+                if k not in places:
+                    heapq.heappush(waiting, k)
+                places.setdefault(k, []).append(some)
+
+        put(np.arange(n))
+        while waiting:
+            k = heapq.heappop(waiting)
+            some = places.pop(k)
+            at = some[0] if len(some) == 1 else np.unique(np.concatenate(some))
+            at = at[rank[at] == k]
+            if not len(at):
+                continue
+            right = after[at]
+            chained = np.append(False, right[:-1] == at[1:])
+            if chained.any():  # of a run of overlapping places every other one counts, from the left
+                i = np.arange(len(at))
+                odd = (i - np.maximum.accumulate(np.where(chained, 0, i))) % 2 == 1
+                at, right = at[~odd], right[~odd]
+            ids[at] = self.made[k]
+            rank[right] = none
+            then = after[right]
+            after[at] = then
+            before[then[then >= 0]] = at[then >= 0]
+            left -= np.bincount(piece[at], minlength=len(left))
+            prior = before[at]
+            changed = np.unique(np.concatenate([at, prior[prior >= 0]]))
+            then = after[changed]
+            rank[changed] = np.where(then >= 0, self.rank_of(ids[changed], ids[then]), none)
+            put(changed)
+        return left
+
+    def by_round(self, pieces: list[bytes]) -> np.ndarray:
+        """The lowest rank of every sequence in each round."""
         none = len(self.ranks)
         left = np.array([len(p) for p in pieces], dtype=np.int64)
         ids = self.bytes[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
         seq = np.repeat(np.arange(len(pieces)), left)
         while len(ids) > 1:
-            key = ids[:-1] * self.size + ids[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), none - 1)
-            rank = np.where((self.keys[at] == key) & (seq[:-1] == seq[1:]), self.ranks[at], none)
+            rank = np.where(seq[:-1] == seq[1:], self.rank_of(ids[:-1], ids[1:]), none)
             rank = np.append(rank, none)
             starts = np.flatnonzero(np.append(True, seq[1:] != seq[:-1]))
             lengths = np.diff(np.append(starts, len(seq)))
@@ -96,8 +167,13 @@ class Counter:
         if len(self.cache) > CACHE_UNITS:
             self.cache = dict(islice(self.cache.items(), CACHE_UNITS // 2))
         cache = self.cache
-        cache.update(self.learn(list(set().union(*cut).difference(cache))))
-        return [n + sum(map(cache.__getitem__, units)) for n, units in zip(extra, cut, strict=True)]
+        new = set().union(*cut).difference(cache)
+        cache.update(self.learn(list(new)))
+        out = [n + sum(map(cache.__getitem__, units)) for n, units in zip(extra, cut, strict=True)]
+        for u in new:
+            if len(u) > CACHE_CHARS:
+                del cache[u]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -116,4 +192,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(released(run), f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
