@@ -1,19 +1,19 @@
 """Op 9: benchmark decontamination by templates.
 
-Words become template tokens: numbers, units and names (capitalised words that begin no sentence) give typed
-placeholders and keep their value as a slot; other words are lower-cased without outer punctuation. Windows of WIDTH
+Words become template tokens: numbers, units and names (capitalised words that begin no sentence, unless a window has too
+many of them) give typed placeholders and keep their value as a slot; other words are lower-cased without outer punctuation. Windows of WIDTH
 tokens (all tokens of a shorter item) are hashed. A fixed-size bit table of the benchmark's window hashes passes the
 few windows of documents that may match; those meet the benchmark's in an equi-join. On each diagonal (offset between
-document and item) the slots must correspond one to one, so that a question with other numbers or names is caught and a
-text that shares a frame only by accident is not. Where one value stands for several, the pair that holds at most of its
-places is kept; windows with other pairs do not count, unless their values equal the item's. Every window, of many literal words or few, is also hashed with its
+document and item) each value of the item must stand for one value of the document, so that a question with other numbers
+or names is caught and a text that shares a frame only by accident is not. Where a value stands for several, the pair that
+holds at most of its places is kept; windows with other pairs do not count, unless their values equal the item's. Every window, of many literal words or few, is also hashed with its
 values in place and met by exact equality. A document is contaminated by an item if consistent diagonals and equal windows
 cover at least `share` of the item's windows, or of those with LEAST literal words. Characters of scripts that set no
 spaces are words of their own.
 
 Edge cases: null or empty texts and items match nothing; items of fewer than LEAST_WORDS words or LEAST_CHARS characters
 (those of unspaced scripts count twice) are not searched for but named in a warning and by `unsearchable`; items of equal template whose equal slots lie at the same places count as the one of smallest id; documents are told apart by id and text, so repeated rows get
-equal verdicts; with an empty benchmark every document is clean; other columns are ignored.
+equal verdicts; with an empty benchmark every document is clean, an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import released, store
 
 WIDTH = 8
 #: Literal words that a window must have to be met by its template.
@@ -37,9 +37,19 @@ LEAST_WORDS, LEAST_CHARS = 3, 8
 #: Bits of the table that documents' windows are tested against, whatever the benchmark's size.
 TABLE_BITS = 24
 
-# Words for numbers and units.
-NUMBER_WORDS = frozenset("zero two three four five six seven eight nine ten eleven twelve thirteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles gram grams kilogram kilograms pound pounds liter liters litre litres percent dollar dollars euro euros cent cents degree degrees mph kmh".split())
+# Words for numbers and units in English, French, Spanish and German (without those that are other common words of the four).
+NUMBER_WORDS = frozenset(
+    "zero two three four five six seven eight nine ten eleven twelve thirteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize vingt trente quarante cinquante soixante mille millions milliard milliards "
+    "dos tres cuatro cinco seis siete ocho nueve diez doce trece veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend millionen milliarde milliarden".split()
+)
+UNITS = frozenset(
+    "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles gram grams kilogram kilograms pound pounds liter liters litre litres percent dollar dollars euro euros cent cents degree degrees mph kmh "
+    "mètre mètres kilomètre kilomètres gramme grammes kilogramme kilogrammes heure heures jour jours semaine semaines mois année années seconde secondes degré degrés centime centimes "
+    "metro metros kilómetro kilómetros gramo gramos kilogramo kilogramos litro litros hora horas día días semana semanas meses año años minuto minutos segundo segundos grado grados dólar dólares "
+    "gramm kilogramm stunde stunden tage tagen woche wochen monat monate monaten jahr jahre jahren minuten sekunde sekunden grad prozent".split()
+)
 
 _OUTER = "\"'`.,;:!?()[]{}<>«»“”‘’„…–—-*_~#|/\\、。，．！？；：「」『』（）《》【】〈〉・"
 #: Characters of scripts without spaces (Thai to Myanmar, Khmer, kana, Han) and their punctuation.
@@ -50,7 +60,7 @@ _MULT = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(32)
 class Canon(dict):
     """word -> number of its entry in the tables below; one per worker, emptied when LARGEST words are in it."""
 
-    LARGEST = 900_000
+    LARGEST = 250_000
 
     def __init__(self):
         super().__init__()
@@ -99,7 +109,17 @@ class Canon(dict):
         return h[keep], k[keep], n[keep]
 
 
-def window_hashes(h: np.ndarray, k: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def templates(h: np.ndarray, k: np.ndarray, exact: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each window, whether it has literal words enough, and whether names are slots in it.
+
+    Where names leave too few literal words (German writes all nouns like names), they are literal themselves.
+    """
+    w, named = window_hashes(h, k == 0, width)
+    v, plain = window_hashes(np.where(k == 3, exact, h), (k == 0) | (k == 3), width)
+    return np.where(named, w, v), named | plain, named
+
+
+def window_hashes(h: np.ndarray, literal: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each window, and whether it has literal words enough."""
     n = len(h) - width + 1
     out = np.full(max(n, 0), width, dtype=np.uint64)
@@ -110,8 +130,8 @@ def window_hashes(h: np.ndarray, k: np.ndarray, width: int) -> tuple[np.ndarray,
     out ^= out >> np.uint64(31)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(29)
-    literal = np.append(0, np.cumsum(k == 0))
-    return out, literal[width:] - literal[:-width] >= min(LEAST, width)
+    words = np.append(0, np.cumsum(literal))
+    return out, words[width:] - words[:-width] >= min(LEAST, width)
 
 
 _HITS = "array<struct<hash: long, at: int, ok: boolean, places: array<int>, slots: array<string>>>"
@@ -124,16 +144,16 @@ def _found(canon: Canon, text: str, widths: list[int] | None, table: np.ndarray
     exact = canon.literal[n]
     hits = []
     for width in [min(WIDTH, len(h))] if widths is None else widths:
-        w, ok = window_hashes(h, k, width)
+        w, ok, named = templates(h, k, exact, width)
         if not len(w):
             continue
-        v = window_hashes(exact, k, width)[0]
+        v = window_hashes(exact, k == 0, width)[0]
         plain = ok & (w == v)
         by_template, by_value = ok, ~plain
         if table is not None:
             by_template, by_value = ok & _in(table, w), by_value & _in(table, v)
         for p in np.flatnonzero(by_template):
-            places = [q for q in range(int(p), int(p) + width) if k[q]]
+            places = [q for q in range(int(p), int(p) + width) if k[q] and (named[p] or k[q] != 3)]
             slots = [f"{k[q]}:{canon.value[n[q]]}" for q in places]
             hits.append({"hash": int(w[p].astype(np.int64)), "at": int(p), "ok": True, "places": places if table is None else None, "slots": slots})
         for p in np.flatnonzero(by_value):
@@ -236,7 +256,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, id_col
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, _HIT_TYPE)], names=["doc_id", "key", "hits"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    found = store(rows.mapInArrow(run, f"doc_id long, key long, hits {_HITS}"), "leak-windows")
+    found = store(rows.mapInArrow(released(run), f"doc_id long, key long, hits {_HITS}"), "leak-windows")
     left = found.where(F.size("hits") > 0).select("key", F.explode("hits").alias("d"))
     right = bench.select("item_id", "words", "family", "family_id", "windows", "frames", F.explode("hits").alias("b")).withColumn("hash", F.col("b.hash"))
     met = left.withColumn("hash", F.col("d.hash")).join(right, "hash")
@@ -271,11 +291,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, id_col
 
 
 def sound_windows(at: list[int], places: list[list[int]], items: list[list[str]], docs: list[list[str]]) -> list[int]:
-    """Those windows of a diagonal whose values equal the item's, or whose pairs each hold at more than half of the places of either value."""
+    """Those windows of a diagonal whose values equal the item's, or whose pairs each hold at more than half of the places of the item's value."""
     pairs = [list(zip(p, b, d, strict=True)) for p, b, d in zip(places, items, docs, strict=True)]
     held = {p: (b, d) for some in pairs for p, b, d in some}
-    votes, of_item, of_doc = Counter(held.values()), Counter(b for b, _ in held.values()), Counter(d for _, d in held.values())
-    kept = {x for x, n in votes.items() if 2 * n > max(of_item[x[0]], of_doc[x[1]])}
+    votes, of_item = Counter(held.values()), Counter(b for b, _ in held.values())
+    kept = {x for x, n in votes.items() if 2 * n > of_item[x[0]]}
     return sorted({a for a, some in zip(at, pairs, strict=True) if all(b == d for _, b, d in some) or all((b, d) in kept for _, b, d in some)})
 
 
