@@ -30,11 +30,10 @@ def op2_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
-    every, sizes, within, _ = resharding.reshard(docs, 16, 24, size)
+    old = resharding.lay_out(docs, 16, F.coalesce(F.octet_length("text"), F.lit(0)) + 8)
+    new, _ = resharding.reshard(old, 24)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    rows = every.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "old_shard", "block", "mix")
-    return resharding.with_slots(rows, sizes, within).select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    return new.slots().select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
