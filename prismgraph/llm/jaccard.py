@@ -1,15 +1,18 @@
 """Op 10: n-gram Jaccard join with adaptive multi-match prefixes.
 
 1. Equal texts become one (the smallest id stands for them); from here on texts are distinct.
-2. Shingles are hashed to 40 bits within one of as many buckets as there are shuffle partitions, and sent to their
-   bucket as packed arrays. A bucket counts in how many texts each occurs and sends back those that occur twice or more.
-   What occurs once cannot be shared, so a text of which less than the threshold's share comes back links with nothing.
+2. Shingles are hashed to 56 bits, whatever the number of partitions, and sent to buckets (equal ranges of the hashes)
+   as packed arrays. A bucket counts in how many texts each occurs and sends back those that occur twice or more. What
+   occurs once cannot be shared, so a text of which less than the threshold's share comes back links with nothing.
+   Shingles of many texts of one part are counted there: the bucket gets one count instead of their texts.
 3. The order is by frequency, rarest first. A prefix of |x| - t + l shingles must share l of them with every text
    that reaches the threshold (t: least overlap). Each text takes the l in 1..MAX_MATCH of least estimated cost:
    the lists it would be read from, and the candidates that would be left to verify.
 4. Candidate pairs come from the lists of shared prefix shingles: all pairs of a short list, counted over all lists
    against the smaller l; a long list links neighbours in size to a leader, which connects at least as much. So the
-   connected parts of candidates hold every link, and no list is ever expanded into its pairs.
+   connected parts of candidates hold every link, and no list is ever expanded into its pairs. Lists lie in ranges of
+   (shingle, size, text), so one of any length is spread; what a range knows of its first and last list, a second pass
+   puts together.
 5. Each part is verified exactly, as a whole or in blocks of size classes and their pairs; block pairs whose texts
    are connected already are left out, as they cannot change a component. A task returns a spanning forest only.
 
@@ -27,27 +30,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, lower_ascii, parts, store
+from .common import SPACE_CHARS, lower_ascii, parts, released, store
 from .components import components
 
-BITS = 40
+#: Bytes of a shingle's identity, the high ones of its 64-bit hash.
+WIDTH = 7
 MAX_MATCH = 4
 #: A list of more members gives a leader's star instead of its pairs.
 SHORT_LIST = 48
-#: Texts that are verified together.
-BLOCK = 2048
+#: Texts that are verified together, and their shingles.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+#: Shingles of a part, and texts of it that share a shingle before it is counted there.
+PART, FREQUENT = 6_000_000, 64
 
 _SPLIT = re.compile(f"[{SPACE_CHARS}]+")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
 class WordHashes(dict):
-    """64-bit hash of each word, kept for the words of a worker."""
+    """64-bit hash of each word, kept for LARGEST words of a worker."""
+
+    LARGEST = 250_000
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 900_000:
+        if len(self) > self.LARGEST:
             self.clear()
         v = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return v
@@ -113,50 +121,66 @@ _PACKED = pa.schema([("key", pa.int32()), ("bucket", pa.int32()), ("part", pa.in
 _PACKED_SQL = "key int, bucket int, part int, n int, a binary, b binary, c binary"
 
 
+#: Values of `bucket` in rows that pass a bucket by: the texts of a part, and the texts of its frequent shingles.
+HEADS, FREQUENTS = -1, -2
+#: Stands for all texts of a part in a count, and in the answer to it.
+EVERY = (1 << 32) - 1
+
+
+def bucket_of(ident: np.ndarray, buckets: int) -> np.ndarray:
+    return ((ident >> np.uint64(8 * WIDTH - 32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+
+
 def _scatter(width: int, buckets: int):
-    """Texts -> packed (hashes, text numbers) for each bucket, and the texts' own (id, key, size) on the way through."""
+    """Texts -> packed (shingles, text numbers) for each bucket, and the texts' own (id, key, size) on the way through."""
     keys = partition_keys(buckets)
 
+    def pack(part: int, hashes: list[np.ndarray], heads: list[tuple]) -> pa.RecordBatch:
+        sizes = [len(x) for x in hashes]
+        ident = np.concatenate(hashes) >> np.uint64(64 - 8 * WIDTH)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+        order = np.argsort(ident, kind="stable")
+        ident, owner = ident[order], owner[order]
+        first = np.append(True, (ident[1:] != ident[:-1]) | (owner[1:] != owner[:-1]))
+        ident, owner = ident[first], owner[first]
+        own = np.bincount(owner, minlength=len(sizes))  # less than the size where hashes fell together
+        starts = np.flatnonzero(np.append(True, ident[1:] != ident[:-1])) if len(ident) else np.empty(0, np.int64)
+        counts = np.diff(np.append(starts, len(ident)))
+        often = np.repeat(counts >= FREQUENT, counts)
+        there = part % buckets
+        rows = [(keys[there], HEADS, part, len(heads), np.array([(i, *h, int(own[i])) for i, h in enumerate(heads)], dtype=np.int64).tobytes(), b"", b"")]
+        if often.any():
+            rows.append((keys[there], FREQUENTS, part, int(often.sum()), planes(ident[often], WIDTH), planes(owner[often], 4), b""))
+        many = counts >= FREQUENT
+        for who, known, weight in ((owner[~often], ident[~often], None), (None, ident[starts[many]] if len(starts) else ident, counts[many])):
+            ends = np.searchsorted(bucket_of(known, buckets), np.arange(buckets + 1))
+            for b, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                if j > i:
+                    rows.append((keys[b], b, part, j - i, planes(known[i:j], WIDTH), b"" if who is None else planes(who[i:j], 4), b"" if weight is None else planes(weight[i:j], 4)))
+        return _rows(rows)
+
     def run(batches):
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
+        part, flushed, total = TaskContext.get().partitionId(), 0, 0
         memo = WordHashes()
         hashes: list[np.ndarray] = []
-        sizes: list[int] = []
         heads: list[tuple] = []
-
-        def flush():
-            nonlocal hashes, sizes, heads, number
-            if not heads:
-                return
-            every = np.concatenate(hashes)
-            owner = np.repeat(np.arange(number, number + len(sizes)), sizes)
-            bucket = (every >> np.uint64(BITS)) % np.uint64(buckets)
-            low = every & np.uint64((1 << BITS) - 1)
-            order = np.lexsort((low, owner, bucket))
-            bucket, low, owner = bucket[order], low[order], owner[order]
-            first = np.append(True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1]))
-            bucket, low, owner = bucket[first], low[first], owner[first]
-            own = np.bincount(owner - number, minlength=len(sizes))  # less than the size where hashes fell together
-            ends = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = [(keys[b], b, part, int(j - i), planes(low[i:j], 5), planes(owner[i:j], 4), b"") for b, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if j > i]
-            head = np.array([(number + i, *h, int(own[i])) for i, h in enumerate(heads)], dtype=np.int64)
-            b = part % buckets
-            rows.append((keys[b], -1, part, len(heads), head.tobytes(), b"", b""))
-            number += len(heads)
-            hashes, sizes, heads = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
-
         for batch in batches:
             for rep, k1, k2, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 u = shingles(text, width, memo)
                 hashes.append(u)
-                sizes.append(len(u))
                 heads.append((rep, k1, k2, len(u)))
-                if sum(sizes[-1:]) and len(heads) % 64 == 0 and sum(sizes) > 6_000_000:
-                    yield from flush()
-        yield from flush()
+                total += len(u)
+                if total > PART:
+                    yield pack(part + (flushed << 20), hashes, heads)
+                    hashes, heads, total, flushed = [], [], 0, flushed + 1
+        if heads:
+            yield pack(part + (flushed << 20), hashes, heads)
 
     return run
 
@@ -175,55 +199,67 @@ def _count(buckets: int):
                     held.setdefault(r["bucket"], []).append(r)
         for bucket in sorted(held):
             rows = held.pop(bucket)
-            low = np.concatenate([unplanes(r["a"], 5, r["n"]) for r in rows])
-            owner = np.concatenate([unplanes(r["b"], 4, r["n"]) for r in rows])
-            part = np.repeat([r["part"] for r in rows], [r["n"] for r in rows])
-            order = np.argsort(low, kind="stable")
-            low, owner, part = low[order], owner[order], part[order]
-            starts = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-            df = np.repeat(np.diff(np.append(starts, len(low))), np.diff(np.append(starts, len(low))))
+            ident = np.concatenate([unplanes(r["a"], WIDTH, r["n"]) for r in rows])
+            owner = np.concatenate([unplanes(r["b"], 4, r["n"]).astype(np.uint32) if r["b"] else np.full(r["n"], EVERY, np.uint32) for r in rows])
+            weight = np.concatenate([unplanes(r["c"], 4, r["n"]).astype(np.uint32) if r["c"] else np.ones(r["n"], np.uint32) for r in rows])
+            part = np.repeat(np.array([r["part"] for r in rows], np.int32), [r["n"] for r in rows])
+            del rows
+            order = np.argsort(ident, kind="stable")
+            ident, owner, part, weight = ident[order], owner[order], part[order], weight[order]
+            starts = np.flatnonzero(np.append(True, ident[1:] != ident[:-1]))
+            df = np.repeat(np.add.reduceat(weight.astype(np.int64), starts), np.diff(np.append(starts, len(ident))))
             keep = df > 1
-            low, owner, part = low[keep], owner[keep], part[keep]
-            code = np.minimum(np.ceil(8 * np.log2(df[keep])), 255).astype(np.uint64)
+            ident, owner, part = ident[keep], owner[keep], part[keep]
+            code = np.minimum(np.ceil(8 * np.log2(df[keep])), 255).astype(np.uint8)
             order = np.argsort(part, kind="stable")
-            low, owner, part, code = low[order], owner[order], part[order], code[order]
-            out = []
-            for p in np.unique(part):
-                i, j = np.searchsorted(part, [p, p + 1])
-                out.append((keys[int(p) % buckets], bucket, int(p), int(j - i), planes(low[i:j], 5), planes(owner[i:j], 4), planes(code[i:j], 1)))
+            ident, owner, part, code = ident[order], owner[order], part[order], code[order]
+            cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
+            out = [(keys[int(part[i]) % buckets], bucket, int(part[i]), int(j - i), planes(ident[i:j], WIDTH), planes(owner[i:j], 4), code[i:j].tobytes()) for i, j in zip(cuts, np.append(cuts[1:], len(part)), strict=True)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _PACKED, strict=True)], schema=_PACKED)
+                yield _rows(out)
 
     return run
 
 
 def _gather(num: int, den: int):
-    """Per part: each text with its shared shingles in the global order, kept where they can reach the threshold."""
+    """Per part (its rows follow each other): each text with its shared shingles in the global order, kept where they can reach the threshold."""
     schema = pa.schema([("rep", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("size", pa.int64()), ("own", pa.int64()), ("tokens", pa.binary()), ("codes", pa.binary())])
 
+    def close(rows):
+        heads = np.concatenate([np.frombuffer(r["a"], dtype=np.int64).reshape(-1, 6) for r in rows if r["bucket"] == HEADS])
+        often = [r for r in rows if r["bucket"] == FREQUENTS]
+        rows = [r for r in rows if r["bucket"] >= 0]
+        token = np.concatenate([unplanes(r["a"], WIDTH, r["n"]) for r in rows] or [np.empty(0, np.uint64)])
+        owner = np.concatenate([unplanes(r["b"], 4, r["n"]).astype(np.uint32) for r in rows] or [np.empty(0, np.uint32)])
+        code = np.concatenate([np.frombuffer(r["c"], np.uint8) for r in rows] or [np.empty(0, np.uint8)])
+        if often:  # every frequent shingle has its answer, as it occurs twice at least
+            every = owner == EVERY
+            known = np.argsort(token[every])
+            ident, who = (np.concatenate([unplanes(r[c], w, r["n"]) for r in often]) for c, w in (("a", WIDTH), ("b", 4)))
+            at = known[np.searchsorted(token[every][known], ident)]
+            token, owner, code = np.concatenate([token[~every], ident]), np.concatenate([owner[~every], who.astype(np.uint32)]), np.concatenate([code[~every], code[every][at]])
+        order = np.lexsort((token, code, owner))
+        token, owner, code = token[order], owner[order], code[order]
+        number = heads[:, 0].astype(np.uint32)
+        i, j = np.searchsorted(owner, number, "left"), np.searchsorted(owner, number, "right")
+        least = -(-num * heads[:, 4] // den) - (heads[:, 4] - heads[:, 5])
+        alive = (j - i >= least) & (heads[:, 4] > 0)
+        for lo in range(0, len(heads), 2000):
+            hi = min(lo + 2000, len(heads))
+            tokens = [token[a:b].astype("<u8").tobytes() if ok else None for a, b, ok in zip(i[lo:hi], j[lo:hi], alive[lo:hi], strict=True)]
+            codes = [code[a:b].tobytes() if ok else None for a, b, ok in zip(i[lo:hi], j[lo:hi], alive[lo:hi], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(heads[lo:hi, c]) for c in range(1, 6)), pa.array(tokens, pa.binary()), pa.array(codes, pa.binary())], schema=schema)
+
     def run(batches):
-        held: dict[int, list] = {}
+        held: list[dict] = []
         for batch in batches:
             for r in batch.to_pylist():
-                held.setdefault(r["part"], []).append(r)
-        for part in sorted(held):
-            rows = held.pop(part)
-            heads = np.concatenate([np.frombuffer(r["a"], dtype=np.int64).reshape(-1, 6) for r in rows if r["bucket"] < 0])
-            heads = heads[np.argsort(heads[:, 0])]
-            rows = [r for r in rows if r["bucket"] >= 0]
-            token = np.concatenate([unplanes(r["a"], 5, r["n"]) | np.uint64(r["bucket"] << BITS) for r in rows] or [np.empty(0, np.uint64)])
-            owner = np.concatenate([unplanes(r["b"], 4, r["n"]) for r in rows] or [np.empty(0, np.uint64)])
-            code = np.concatenate([unplanes(r["c"], 1, r["n"]) for r in rows] or [np.empty(0, np.uint64)])
-            order = np.lexsort((token, code, owner))
-            token, owner, code = token[order], owner[order], code[order].astype(np.uint8)
-            i, j = np.searchsorted(owner, heads[:, 0].astype(np.uint64), "left"), np.searchsorted(owner, heads[:, 0].astype(np.uint64), "right")
-            least = -(-num * heads[:, 4] // den) - (heads[:, 4] - heads[:, 5])
-            alive = (j - i >= least) & (heads[:, 4] > 0)
-            for lo in range(0, len(heads), 2000):
-                hi = min(lo + 2000, len(heads))
-                tokens = [token[a:b].astype("<u8").tobytes() if ok else None for a, b, ok in zip(i[lo:hi], j[lo:hi], alive[lo:hi], strict=True)]
-                codes = [code[a:b].tobytes() if ok else None for a, b, ok in zip(i[lo:hi], j[lo:hi], alive[lo:hi], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(heads[lo:hi, c]) for c in range(1, 6)), pa.array(tokens, pa.binary()), pa.array(codes, pa.binary())], schema=schema)
+                if held and held[0]["part"] != r["part"]:
+                    yield from close(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield from close(held)
 
     return run
 
@@ -254,61 +290,128 @@ def _prefixes(num: int, den: int):
     return run
 
 
-def _candidates(num: int, den: int):
-    """Sorted postings -> pairs (u, v, need, met). Long lists give stars, met beyond any need."""
+class _Lists:
+    """Pairs (u, v, need, met) from sorted postings. Members ascend in size, so a gap ends what a leader can stand for."""
+
+    def __init__(self, num: int, den: int, whole: bool):
+        self.num, self.den, self.whole = num, den, whole
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.edge: list[tuple[np.ndarray, ...]] = []
+        self.open: tuple[np.ndarray, ...] | None = None  # of the open list: its members while it is short, else the last
+        self.long = self.first = False
+        self.leader = 0
+
+    def put(self, u, v, need) -> None:
+        if len(u):
+            self.found.append((u, v, need, np.where(need < 0, MAX_MATCH, 1)))
+
+    def star(self, rep: np.ndarray, size: np.ndarray, leader: int | None = None) -> int:
+        """Members go to the leader before them; with one given, the first member follows it already. Gives the last leader."""
+        at = np.arange(len(rep))
+        new = np.append(leader is None, size[:-1] * self.den < self.num * size[1:])
+        lead = np.maximum.accumulate(np.where(new, at, -1))
+        to = np.where(lead < 0, leader or 0, rep[lead])
+        member = ~new
+        if leader is not None:
+            member[0] = False  # it is the last member that was seen before
+        self.put(to[member], rep[member], np.full(int(member.sum()), -1))
+        return int(to[-1])
+
+    def lists(self, t, rep, size, match) -> None:
+        """Whole lists."""
+        starts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        n = np.diff(np.append(starts, len(t)))
+        long = (n > SHORT_LIST) | (np.minimum.reduceat(match, starts) == 0)
+        for i, k in zip(starts[long], n[long], strict=True):
+            self.star(rep[i : i + k], size[i : i + k])
+        some = np.repeat(~long & (n > 1), n)
+        t, rep, size, match = t[some], rep[some], size[some], match[some]
+        for d in range(1, SHORT_LIST):
+            i = np.flatnonzero((t[d:] == t[:-d]) & (size[:-d] * self.den >= self.num * size[d:]))
+            if not len(i):
+                if d >= len(t) or not (t[d:] == t[:-d]).any():
+                    break
+                continue
+            self.put(rep[i], rep[i + d], np.minimum(match[i], match[i + d]))
+
+    def add(self, t, rep, size, match) -> None:
+        """More members of the open list."""
+        if self.open is None:
+            self.open = (t, rep, size, match)
+        elif not self.long:
+            self.open = tuple(np.concatenate(x) for x in zip(self.open, (t, rep, size, match), strict=True))
+        if not self.long and (len(self.open[0]) > SHORT_LIST or (self.open[3] == 0).any()):
+            self.long, (t, rep, size, match) = True, self.open
+            self.leader = self.star(rep, size)
+            self.limit(t, rep, size, 0)
+        elif self.long:
+            _, last_rep, last_size, _ = self.open
+            self.leader = self.star(np.append(last_rep, rep), np.append(last_size, size), self.leader)
+        if self.long:
+            self.open = (t[-1:], rep[-1:], size[-1:], match[-1:])
+
+    def limit(self, t, rep, size, i) -> None:
+        """A member at an end of this range's part of a long list."""
+        if not self.whole:
+            self.edge.append((t[[i]], rep[[i]], size[[i]], np.zeros(1, dtype=np.int64)))
+
+    def close(self, last: bool) -> None:
+        if self.open is None:
+            return
+        if self.long:
+            self.limit(*self.open[:3], 0)
+        elif self.whole or not (self.first or last):
+            self.lists(*self.open)
+        else:
+            self.edge.append(self.open)
+        self.open, self.long, self.first = None, False, False
+
+    def take(self) -> pa.RecordBatch | None:
+        """What was found, and the members of lists at the range's ends (token not null)."""
+        if not self.found and not self.edge:
+            return None
+        u, v, need, met = (np.concatenate([x[c] for x in self.found] or [np.empty(0, np.int64)]) for c in range(4))
+        t, rep, size, match = (np.concatenate([x[c] for x in self.edge] or [np.empty(0, np.int64)]) for c in range(4))
+        self.found, self.edge = [], []
+        token = pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(t, pa.int64())])
+        cols = ((u, rep), (v, size), (np.where(need < 0, 1, need), match), (met, np.zeros(len(t), np.int64)))
+        return pa.RecordBatch.from_arrays([token, *(pa.array(np.concatenate(x).astype(np.int64)) for x in cols)], names=["token", "u", "v", "need", "met"])
+
+
+_PAIRS_SQL = "token long, u long, v long, need long, met long"
+
+
+def _candidates(num: int, den: int, whole: bool):
+    """Postings sorted by (token, size, rep) -> pairs; unless the lists are whole here, members of the first and last list of the range too."""
 
     def run(batches):
-        u, v, need, met = [], [], [], []
-        token, members, leader, last = None, [], None, 0
-
-        def close():
-            if leader is None:
-                for j, (b, sb, mb) in enumerate(members):
-                    for a, sa, ma in members[:j]:
-                        if sa * den >= num * sb:
-                            u.append(a)
-                            v.append(b)
-                            need.append(min(ma, mb))
-                            met.append(1)
-
-        def batch_out():
-            b = pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(need, pa.int32()), pa.array(met, pa.int32())], names=["u", "v", "need", "met"])
-            for x in (u, v, need, met):
-                x.clear()
-            return b
-
-        def star(a, b):
-            u.append(a)
-            v.append(b)
-            need.append(1)
-            met.append(MAX_MATCH)
-
+        x = _Lists(num, den, whole)
+        begun = False
         for batch in batches:
-            for t, rep, size, match in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if t != token:
-                    close()
-                    token, members, leader, last = t, [], None, 0
-                if leader is None:
-                    members.append((rep, size, match))
-                    if len(members) > SHORT_LIST:  # sizes ascend; a gap in size ends what a leader can stand for
-                        leader, last = members[0][0], members[0][1]
-                        for r, s, _ in members[1:]:
-                            if last * den >= num * s:
-                                star(leader, r)
-                            else:
-                                leader = r
-                            last = s
-                        members = []
-                else:
-                    if last * den >= num * size:
-                        star(leader, rep)
-                    else:
-                        leader = rep
-                    last = size
-                if len(u) > 200_000:
-                    yield batch_out()
-        close()
-        yield batch_out()
+            t, rep, size, match = (batch.column(c).to_numpy().astype(np.int64) for c in ("token", "rep", "size", "match"))
+            if not len(t):
+                continue
+            ends = np.flatnonzero(t[1:] != t[:-1]) + 1
+            done = 0
+            if not begun:
+                begun = x.first = True
+            elif x.open is not None and x.open[0][0] != t[0]:
+                x.close(False)
+            if x.open is not None or x.first:  # the list that goes on, or the range's first
+                done = int(ends[0]) if len(ends) else len(t)
+                x.add(t[:done], rep[:done], size[:done], match[:done])
+                if done < len(t):
+                    x.close(False)
+            if done < len(t):
+                last = int(ends[-1])
+                if last > done:
+                    x.lists(t[done:last], rep[done:last], size[done:last], match[done:last])
+                x.add(t[last:], rep[last:], size[last:], match[last:])
+            if out := x.take():
+                yield out
+        x.close(True)
+        if out := x.take():
+            yield out
 
     return run
 
@@ -354,21 +457,26 @@ def link_texts(texts: DataFrame, width: int = 5, num: int = 3, den: int = 4) ->
     """texts (rep, k1, k2, text), distinct -> (rep, k1, k2, size) of all, and a spanning forest (u, v) of the links."""
     spark = texts.sparkSession
     n = parts(spark)
-    packed = texts.sortWithinPartitions("rep", "k1").mapInArrow(_scatter(width, n), _PACKED_SQL)
-    counted = packed.repartition(n, "key").mapInArrow(_count(n), _PACKED_SQL)
-    gathered = counted.repartition(n, "key").mapInArrow(_gather(num, den), "rep long, k1 long, k2 long, size long, own long, tokens binary, codes binary")
+    packed = texts.sortWithinPartitions("rep", "k1").mapInArrow(released(_scatter(width, n)), _PACKED_SQL)
+    counted = packed.repartition(n, "key").mapInArrow(released(_count(n)), _PACKED_SQL)
+    gathered = counted.repartition(n, "key").sortWithinPartitions("part").mapInArrow(released(_gather(num, den)), "rep long, k1 long, k2 long, size long, own long, tokens binary, codes binary")
     every = store(gathered, "jaccard-texts", codec="lz4")
     alive = every.where("tokens is not null and rep is not null")
 
-    postings = alive.select("rep", "size", "own", "tokens", "codes").mapInArrow(_prefixes(num, den), "token long, rep long, size long, match int")
-    pairs = postings.repartition(n, "token").sortWithinPartitions("token", "size", "rep").mapInArrow(_candidates(num, den), "u long, v long, need int, met int")
+    postings = alive.select("rep", "size", "own", "tokens", "codes").mapInArrow(released(_prefixes(num, den)), "token long, rep long, size long, match int")
+    ranged = postings.repartitionByRange(n, "token", "size", "rep").sortWithinPartitions("token", "size", "rep")
+    pairs = store(ranged.mapInArrow(released(_candidates(num, den, False)), _PAIRS_SQL), "jaccard-pairs")
+    # at most twice SHORT_LIST members a range
+    limits = pairs.where("token is not null").select("token", F.col("u").alias("rep"), F.col("v").alias("size"), F.col("need").alias("match"))
+    joined = limits.repartition(n, "token").sortWithinPartitions("token", "size", "rep").mapInArrow(_candidates(num, den, True), _PAIRS_SQL)
+    pairs = pairs.where("token is null").unionByName(joined)
     edges = pairs.groupBy("u", "v").agg(F.min("need").alias("need"), F.sum("met").alias("met")).where("met >= need").select("u", "v")
     groups = components(edges, "jaccard-candidates").withColumnsRenamed({"node": "rep", "label": "comp"})
 
     # blocks: a part as a whole, or its size classes (factor den/num, so links stay within a class or its neighbour)
     classed = store(alive.select("rep", "size").join(groups, "rep").withColumn("class", F.floor(F.log("size") / F.log(F.lit(den / num)) + 1e-9).cast("int")), "jaccard-groups")
-    counts = classed.groupBy("comp", "class").count().withColumn("salts", F.ceil(F.col("count") / BLOCK).cast("int"))
-    large = counts.groupBy("comp").agg((F.sum("count") > BLOCK).alias("large"))
+    counts = classed.groupBy("comp", "class").agg(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES).alias("blocks")).withColumn("salts", F.ceil("blocks").cast("int"))
+    large = counts.groupBy("comp").agg((F.sum("blocks") > 1).alias("large"))
     counts = counts.join(large, "comp").select("comp", "class", "salts", "large")
     placed = classed.join(counts, ["comp", "class"])
     block = F.when(F.col("large"), F.struct("class", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"))).otherwise(F.struct(F.lit(-1).alias("class"), F.lit(0).alias("salt")))
