@@ -663,7 +663,7 @@ def projection_fit(spark, sf_dir):
     return view.fit_projection(_degrees(spark, sf_dir)).select(r("centre_lat", 9), r("centre_lon", 9), r("lon_scale", 9), r("norm", 6), r("metres_per_unit", 3))
 
 
-@query(_DEGREES + " SELECT node, CAST(round(((lon - clon) * ls * norm * 536870912) / 1024) AS BIGINT) AS x, CAST(round(((lat - clat) * norm * 536870912) / 1024) AS BIGINT) AS y FROM g, n")
+@query(_DEGREES + " SELECT node, CAST(round(round((lon - clon) * ls * norm * 536870912) / 1024) AS BIGINT) AS x, CAST(round(round((lat - clat) * norm * 536870912) / 1024) AS BIGINT) AS y FROM g, n")
 def projected_nodes(spark, sf_dir):
     """Fixed-point places of nodes in degrees, in units of 1024."""
     from prismgraph.sources.graph_text import projected
