@@ -1,6 +1,8 @@
 """The operators against brute force, exact round trips and held-out pages, on small tables with awkward rows."""
 
 import hashlib
+import itertools
+import os
 import random
 import re
 import zlib
@@ -154,33 +156,65 @@ def test_packing_with_more_sources_than_queues(docs, rows, targets):
         assert first["s0"] == 0 and first["s1"] > 8 and first["s2"] > 40
 
 
-def test_resharding(docs, rows):
+def test_resharding(spark, docs, rows):
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
-    every, sizes, within, report = resharding.reshard(docs.select("doc_id", "text"), 3, 5, size, min_blocks=24)
-    got = resharding.with_slots(every, sizes, within).collect()
+    old = resharding.lay_out(docs.withColumnRenamed("size", "Shard"), 3, size, min_blocks=24)
+    paths = {f[0] for f in old.files}
+    assert all(os.path.exists(p[7:]) for p in paths)
+    times = {p: os.stat(p[7:]).st_mtime_ns for p in paths}
+    supply = [sum(f[4] for f in old.files if f[1] == s) for s in range(3)]
+    new, report = resharding.reshard(old, 5)
+    # the fewest bytes: all of the surplus over an equal share, and no more
+    cap = resharding.even_capacities(sum(supply), 5)
+    assert report["bytes_moved"] == sum(max(0, s - c) for s, c in zip(supply, cap, strict=False))
+    # files that stay are untouched, replaced ones are gone, and the manifest is what is there
+    kept = {f[0] for f in new.files} & paths
+    assert len(kept) == report["files_kept"] > 0 and all(os.stat(p[7:]).st_mtime_ns == times[p] for p in kept)
+    assert not any(os.path.exists(p[7:]) for p in paths - kept) and all(os.path.exists(f[0][7:]) for f in new.files)
+    moved = sum(1 for r in old.spark.read.schema(new.schema).parquet(*[f[0] for f in new.files if f[0] not in paths]).collect() if r._shard != r.old_shard)
+    got = new.slots().collect()
+    assert moved == sum(1 for r in got if r._shard != r.old_shard) > 0
     key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")
-    assert sorted(map(key, got)) == sorted(key({"doc_id": r[0], "text": r[1]}) for r in rows)
-    total = {}
+    assert sorted(map(key, got)) == sorted(key({"doc_id": r[0], "text": r[1]}) for r in rows) and {r.Shard for r in got} == {"z"}
+    largest = max(r["size"] for r in got)
     for s in range(5):
-        mine = [r for r in got if r.shard == s]
+        mine = [r for r in got if r._shard == s]
         assert sorted(r.slot for r in mine) == list(range(len(mine)))
-        total[s] = sum(r.size for r in mine)
-    assert max(total.values()) - min(total.values()) <= 2 * max(r.size for r in got)
-    assert report["files_rewritten"] > 0
+        assert abs(sum(r["size"] for r in mine) - cap[s]) <= largest
+        assert sum(f[4] for f in new.files if f[1] == s) == sum(r["size"] for r in mine)
+    again, report = resharding.reshard(new, 5, capacity=[sum(f[4] for f in new.files if f[1] == s) for s in range(5)])
+    assert report["bytes_moved"] == report["files_replaced"] == 0 and sorted(again.files) == sorted(new.files)
 
 
 def test_flow_moves_least():
     rng = random.Random(3)
-    for _ in range(50):
+    for _ in range(200):
         supply = [rng.randint(0, 100) for _ in range(rng.randint(1, 6))]
         cap = resharding.even_capacities(sum(supply), rng.randint(1, 6))
-        flow = resharding.min_cost_flow(supply, cap, lambda i, j: int(i != j))
+        if rng.random() < 0.5:
+            cap = [rng.randint(0, 60) for _ in range(rng.randint(1, 6))]
+            cap[0] += max(0, sum(supply) - sum(cap))
+        flow = resharding.min_cost_flow(supply, cap)
         for i, s in enumerate(supply):
             assert sum(v for (a, _), v in flow.items() if a == i) == s
+        assert all(sum(v for (_, b), v in flow.items() if b == j) <= c for j, c in enumerate(cap))
         stays = sum(min(s, cap[i]) for i, s in enumerate(supply) if i < len(cap))
         assert sum(v for (a, b), v in flow.items() if a != b) == sum(supply) - stays
 
 
+def test_flow_of_any_network():
+    """Against all ways to send, on small networks with prices."""
+    rng = random.Random(4)
+    for _ in range(60):
+        arcs = [(a, b, rng.randint(0, 2), rng.randint(0, 3)) for a in range(4) for b in range(4) if a != b and rng.random() < 0.5]
+        flow = resharding.cheapest_flow(4, arcs, 0, 3)
+        value = lambda f: sum(x for x, (a, *_) in zip(f, arcs, strict=True) if a == 0) - sum(x for x, (_, b, *_) in zip(f, arcs, strict=True) if b == 0)  # noqa: E731, B023
+        price = lambda f: sum(x * c for x, (*_, c) in zip(f, arcs, strict=True))  # noqa: E731, B023
+        even = lambda f: all(sum(x for x, (a, *_) in zip(f, arcs, strict=True) if a == n) == sum(x for x, (_, b, *_) in zip(f, arcs, strict=True) if b == n) for n in (1, 2))  # noqa: E731, B023
+        ways = [f for f in itertools.product(*[range(r + 1) for *_, r, _ in arcs]) if even(f)]
+        assert even(flow) and (-value(flow), price(flow)) == min((-value(f), price(f)) for f in ways)
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://Example.COM/en/7x?q", "https://a.b.example.com/en/9", "x://com/en/", "http://notcom/en/", "http://net/de/8", "http://q.example.net/de/81#f", "http://org", "http://u.org/es", "http://a://b.org/es/", "http://.org/es/1", "http://EXAMPLE.com"]
     pages = spark.createDataFrame([(i % 3, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, rule string, verdict string")
@@ -363,9 +397,19 @@ def test_empty_tables(spark, docs, tmp_path):
     assert packing.pack(none, vocabulary(BYTE)).count() == 0
     assert token_counts.count_tokens(none, vocabulary(BYTE)).count() == 0
     assert jaccard.join_documents(none).count() == 0
-    every, sizes, within, _ = resharding.reshard(none.select("doc_id", "text"), 3, 5, F.lit(8))
-    assert resharding.with_slots(every, sizes, within).count() == 0
+    assert resharding.reshard(resharding.lay_out(none, 3, F.lit(8)), 5)[0].slots().count() == 0
     assert quality.rate(none).count() == 0
+    pages = none.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    assert html_crf.extract(pages).count() == url_filter.judge(pages, url_filter.rule_table(spark, RULES)).count() == 0
+    turns = none.select(F.col("doc_id").alias("conv_id"), F.lit(1).alias("turn"), F.lit("user").alias("role"), "text")
+    windows = chat.format_windows(turns)
+    assert windows.count() == chat.read_back(windows).count() == 0
+    bench = docs.select(F.col("doc_id").alias("item_id"), "text")
+    assert decontamination.find_leaks(none, bench).count() == decontamination.find_leaks(none, bench.limit(0)).count() == 0
+    d = f"file://{tmp_path}"
+    docs.limit(0).write.parquet(f"{d}/documents.parquet")
+    bench.write.parquet(f"{d}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0
 
 
 def test_pipeline(spark, tmp_path):
