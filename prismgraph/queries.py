@@ -903,7 +903,7 @@ def dataset_catalog(spark, sf_dir):
 
 
 # Three classes of roads and the one that takes all others.
-_STYLES = [(1, "motorway", "#e8768c"), (2, "trunk", "#f09468"), (3, "primary", "#f6b55a80"), (None, "other", "#8b919a")]
+_STYLES = [(1, "motorway", "#d04040"), (2, "trunk", "#e08030"), (3, "primary", "#f0c04080"), (None, "other", "#909090")]
 
 
 def _styles(spark) -> DataFrame:

@@ -222,13 +222,13 @@ def test_weights_in_any_notation(spark, written):
     assert graph_text.read_graph(spark, g).edges.where("edge = 0").collect()[0].weight == 10
 
 
-SHIPPED = """# How roads are drawn.
-#   <class>    <color>   <width px>  <types>
+SHIPPED = """# Classes of roads and their looks
+#   class  colour  width  types
 
-motorway     #e8768c   4.5   1 2               # motorway, motorway_link
-trunk        #f09468   4.0   9 10              # trunk
-minor        #a7b1bf80 1.7   11 12 13 14
-other        #8b919a   1.0   *                 # anything else
+motorway     #d04040   4.5   1 2               # both kinds
+trunk        #e08030   4.0   9 10              # trunk
+minor        #b0b0c080 1.7   11 12 13 14
+other        #909090   1.0   *                 # all others
 """
 
 
@@ -244,7 +244,7 @@ def test_style_files(spark, tmp_path):
     assert len(s) == 64 and [s[t]["class"] for t in (1, 2, 10, 12, 0, 63)] == ["motorway", "motorway", "trunk", "minor", "other", "other"] and s[1].width == 4.5
     df = graph_text.read_styles(spark, path).where("type in (1, 12)").select("type", codes.hex_colour(F.col("colour")).alias("c"), codes.class_depth(F.col("index"), F.lit(4)).alias("d")).orderBy("type")
     (_, a, da), (_, b, db) = df.collect()
-    assert abs(a[0] - 0xE8 / 255) < 1e-9 and a[3] == 1.0 and abs(b[3] - 0x80 / 255) < 1e-9 and 0 < da < db < 1
+    assert abs(a[0] - 0xD0 / 255) < 1e-9 and a[3] == 1.0 and abs(b[3] - 0x80 / 255) < 1e-9 and 0 < da < db < 1
     broken = ["a #ff0000 1 1\n", "a #ff0000 1 1 *\nb #00ff00 1 1\n", "a red 1 *\n", "a #ff0000 0 *\n", "a #ff0000 33 *\n", "a #ff0000 1\n", "a #ff0000 1 63 *\n", "a #ff0000 1 x *\n", "a #ff0000 1 * \nb #00ff00 1 *\n"]
     for text in broken:
         with pytest.raises(graph_text.SourceError):
