@@ -13,8 +13,9 @@
    connected parts of candidates hold every link, and no list is ever expanded into its pairs. Lists lie in ranges of
    (shingle, size, text), so one of any length is spread; what a range knows of its first and last list, a second pass
    puts together.
-5. Each part is verified exactly, as a whole or in blocks of size classes and their pairs; block pairs whose texts
-   are connected already are left out, as they cannot change a component. A task returns a spanning forest only.
+5. Each part is verified exactly: as a whole, or in blocks of size classes, then one text of each component that a block
+   has found against others of them (copies of one text mostly meet here), then pairs of rows of blocks; those whose
+   texts are all connected by then are left out, as they cannot change a component. A task returns a spanning forest only.
 
 Edge cases: a text with fewer words than a shingle is one shingle of all its words; null, empty or wordless texts have
 no shingles and link with nothing, not even with each other; rows that share an id count as one document; rows with
@@ -38,8 +39,8 @@ WIDTH = 7
 MAX_MATCH = 4
 #: A list of more members gives a leader's star instead of its pairs.
 SHORT_LIST = 48
-#: Texts that are verified together, and their shingles.
-BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+#: Texts that are verified together, and their shingles; and blocks of a size class that meet those of others together.
+BLOCK, BLOCK_SHINGLES, BLOCKS = 200, 500_000, 8
 #: Shingles of a part, and texts of it that share a shingle before it is counted there.
 PART, FREQUENT = 6_000_000, 64
 
@@ -479,22 +480,34 @@ def link_texts(texts: DataFrame, width: int = 5, num: int = 3, den: int = 4) ->
     large = counts.groupBy("comp").agg((F.sum("blocks") > 1).alias("large"))
     counts = counts.join(large, "comp").select("comp", "class", "salts", "large")
     placed = classed.join(counts, ["comp", "class"])
-    block = F.when(F.col("large"), F.struct("class", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"))).otherwise(F.struct(F.lit(-1).alias("class"), F.lit(0).alias("salt")))
-    placed = store(placed.select("comp", "rep", "large", block.alias("block")), "jaccard-blocks")
+    salt = F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")
+    block = F.when(F.col("large"), F.struct("class", salt.alias("salt"))).otherwise(F.struct(F.lit(-1).alias("class"), F.lit(0).alias("salt")))
+    placed = store(placed.select("comp", "rep", "size", "large", block.alias("block")), "jaccard-blocks")
     sets = alive.select("rep", "size", "tokens")
     schema = "u long, v long"
-    whole = placed.join(sets, "rep").withColumn("label", F.col("rep"))
+    texts_of = lambda rows: rows.select("comp", "block", "rep", "label").join(sets, "rep")
+    whole = texts_of(placed.withColumn("label", F.col("rep")))
     links = store(whole.groupBy("comp", "block").applyInArrow(_verify(num, den), schema), "jaccard-links")
-    blocks = placed.where("large").select("comp", "block").distinct()
-    if blocks.take(1):
-        # the pairs of blocks of a large part, unless one component holds both
-        known = components(links, "jaccard-known").withColumnsRenamed({"node": "rep"})
-        labelled = store(placed.where("large").join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "jaccard-labelled")
-        span = labelled.groupBy("comp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    large_ones = placed.where("large")
+    if not large_ones.isEmpty():
+        def labelled(links: DataFrame, name: str) -> DataFrame:
+            known = components(links, name).withColumnsRenamed({"node": "rep"})
+            return store(large_ones.join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep")), name)
+
+        # the smallest text of each component of a block, against others of its part
+        now = labelled(links, "jaccard-known")
+        heads = now.groupBy("comp", "block", "label").agg(F.min(F.struct("rep", "size")).alias("r")).select("comp", "label", "r.*")
+        sizes = heads.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"))
+        dealt = heads.join(sizes, "comp").withColumn("block", F.struct(F.lit(-1).alias("class"), F.pmod(F.xxhash64("rep"), F.col("n")).cast("int").alias("salt")))
+        links = links.unionByName(store(texts_of(dealt).groupBy("comp", "block").applyInArrow(_verify(num, den), schema), "jaccard-heads"))
+        # rows of blocks, each with itself and with those of its class and the next, unless one component holds both
+        row = F.struct("block.class", F.floor(F.col("block.salt") / BLOCKS).cast("int").alias("salt"))
+        now = labelled(links, "jaccard-labelled").withColumn("block", row)
+        span = now.groupBy("comp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         a, b = (span.withColumnsRenamed({"block": x, "lo": f"lo{x}", "hi": f"hi{x}"}) for x in ("x", "y"))
-        pairs = a.join(b, "comp").where("x < y and y.class - x.class <= 1").where("not (lox = hix and loy = hiy and lox = loy)").select("comp", "x", "y")
-        sides = pairs.select("comp", F.col("x").alias("block"), "x", "y").unionByName(pairs.select("comp", F.col("y").alias("block"), "x", "y"))
-        more = labelled.select("comp", "block", "rep", "label").join(sides, ["comp", "block"]).join(sets, "rep")
+        pairs = a.join(b, "comp").where("x <= y and y.class - x.class <= 1").where("not (lox = hix and loy = hiy and lox = loy)").select("comp", "x", "y")
+        sides = pairs.select("comp", F.col("x").alias("block"), "x", "y").unionByName(pairs.where("x < y").select("comp", F.col("y").alias("block"), "x", "y"))
+        more = now.select("comp", "block", "rep", "label").join(sides, ["comp", "block"]).join(sets, "rep")
         links = links.unionByName(store(more.groupBy("comp", "x", "y").applyInArrow(_verify(num, den), schema), "jaccard-cross"))
     return every.select("rep", "k1", "k2", "size"), links
 
