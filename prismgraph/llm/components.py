@@ -16,9 +16,11 @@ def _signature(edges: DataFrame):
     return r.n, r.h
 
 
-def _joined(rows: DataFrame, found: DataFrame, key: str, most: int) -> DataFrame:
-    """rows left join found on a key. Keys of more than `most` rows are few enough to be known everywhere; their rows are dealt
-    in PIECES, for which what was found is repeated."""
+def _joined(rows: DataFrame, found: DataFrame, key: str, most: int | None) -> DataFrame:
+    """rows left join found on a key. Keys of more than `most` rows (none: no key has so many) are few enough to be known
+    everywhere; their rows are dealt in PIECES, for which what was found is repeated."""
+    if most is None:
+        return rows.join(found, key, "left")
     hot = F.broadcast(rows.groupBy(key).count().where(F.col("count") > most).select(F.col(key).alias("_k"), F.lit(True).alias("_hot")))
     piece = F.when(F.col("_hot"), F.pmod(F.xxhash64("u", "v"), F.lit(PIECES))).otherwise(F.lit(0).cast("long"))
     left = rows.join(hot, F.col(key) == F.col("_k"), "left").withColumn("_p", piece).drop("_k", "_hot")
@@ -35,6 +37,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while (now := _signature(edges)) != before:
         before = now
         most = max(1000, now[0] // (4 * parts(edges.sparkSession)))  # so at most four keys a partition are above it
+        ends = edges.select(F.explode(F.array("u", "v")).alias("k")).groupBy("k").count()
+        if (ends.agg(F.max("count")).first()[0] or 0) <= most:
+            most = None
         # every larger neighbour of a node goes to the node's smallest; a node without smaller ones keeps them
         least = edges.groupBy(F.col("v").alias("u")).agg(F.min("u").alias("m"))
         large = _joined(edges, least, "u", most).select(F.coalesce("m", "u").alias("u"), "v").distinct()
