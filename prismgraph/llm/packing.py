@@ -218,19 +218,17 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
         from pyspark import TaskContext
 
         shard, at, last = TaskContext.get().partitionId(), 0, object()
-        enc = encoder(tokenizer)
+        enc, end = encoder(tokenizer), end_id.to_bytes(4, "little")
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
             queues = b.column(1).to_pylist()
             for part in in_chunks(texts):
-                raw, ats, ns = [], [], []
-                for q, ids in zip(queues[part], enc.encode(texts[part]), strict=True):
+                raw = [ids + end for ids in enc.raw(texts[part])]
+                ns, ats = [len(x) // 4 for x in raw], []
+                for q, n in zip(queues[part], ns, strict=True):
                     at, last = (at, last) if q == last else (0, q)
-                    ids = np.append(ids, np.uint32(end_id))
-                    raw.append(ids.astype("<u4").tobytes())
                     ats.append(at)
-                    ns.append(len(ids))
-                    at += len(ids)
+                    at += n
                 n = part.stop - part.start
                 yield pa.RecordBatch.from_arrays([b.column(0)[part], b.column(1)[part], pa.array([shard] * n, pa.int32()), pa.array(ats, pa.int64()), pa.array(ns, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "queue", "shard", "at", "n", "ids"])
 
@@ -263,7 +261,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024, t
     def run(batches):
         sources = Tree(nodes, paths)
         for b in batches:
-            ids, doc = b.column("ids").to_pylist(), b.column("doc_id")
+            if not b.num_rows:
+                continue
+            doc, ids = b.column("doc_id"), b.column("ids")
+            # the ids of documents that follow each other lie side by side in the batch
+            begin = np.frombuffer(ids.buffers()[1], np.int64 if pa.types.is_large_binary(ids.type) else np.int32)[ids.offset :]
+            whole = memoryview(ids.buffers()[2] or b"")
             queue, position, n = (b.column(c).to_numpy() for c in ("number", "position", "n"))
             follows = (queue[1:] == queue[:-1]) & (position[1:] == position[:-1] + n[:-1])
             bounds = np.append(np.append(0, np.flatnonzero(~follows) + 1), len(n))
@@ -277,8 +280,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024, t
                 d = np.searchsorted(position[lo:hi], cuts, "right") - 1 + lo
                 k = np.searchsorted(at, cuts, "right") - 1
                 start, length = cuts - position[d], ends - cuts
-                views = [memoryview(ids[i])[4 * s : 4 * (s + m)] for i, s, m in zip(d.tolist(), start.tolist(), length.tolist(), strict=True)]
-                cols = [doc.take(pa.array(d)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(v) for v in views], pa.int64()), pa.array(n[d], pa.int64()), pa.array(w[k], pa.int64()), pa.array(slot[k] + cuts - at[k], pa.int64())]
+                place = int(begin[lo]) + 4 * (cuts - first)
+                views = [whole[x:y] for x, y in zip(place.tolist(), (place + 4 * length).tolist(), strict=True)]
+                cols = [doc.take(pa.array(d)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(list(map(zlib.crc32, views)), pa.int64()), pa.array(n[d], pa.int64()), pa.array(w[k], pa.int64()), pa.array(slot[k] + cuts - at[k], pa.int64())]
                 names_ = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
                 if payload:
                     cols, names_ = [*cols, pa.array([bytes(v) for v in views], pa.binary())], [*names_, "ids"]

@@ -16,9 +16,9 @@ from itertools import islice
 
 import numpy as np
 
-#: Entries of a worker's cache, and characters of the longest unit in it: some 50 MB. When full, the half that came last
+#: Entries of a worker's cache, and characters of the longest unit in it: some 100 MB. When full, the half that came last
 #: goes: frequent units come early.
-CACHE_UNITS, CACHE_CHARS = 200_000, 64
+CACHE_UNITS, CACHE_CHARS = 400_000, 64
 
 #: Outside of these characters, or with a sign that NFC or lower case may join to its neighbour, no cutting.
 _STRANGE = re.compile("[^\\t\\n\\r\x20-\x7e\xa1-įı-ňŊ-ǃǍ-ǯǴ-ɏ‐-―‘-‟•…€]")
@@ -73,39 +73,62 @@ class Encoder:
     def learn(self, units: list[str], cache: dict[str, bytes]) -> None:
         """Runs of letters are pre-tokens as they stand, once their bytes (and a space before them) are spelled in the
         vocabulary's letters, so the library's model takes them alone; all other units go through the whole library."""
-        rest, letters = [], byte_letters()
-        tokenize = self.model.tokenize
+        letters, tokenize = byte_letters(), self.model.tokenize
+        words, rest, ids, ends = [], [], [], [0]
         for u in units:
             word = u[1:] if u[0] == " " else u
             if word.isalpha():
                 spelled = word if word.isascii() else "".join([letters[b] for b in word.encode()])
-                piece = spelled if word is u or self.drops else letters[32] + spelled
-                cache[u] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(piece)])
+                words.append(u)
+                ids += [t.id for t in tokenize(spelled if word is u or self.drops else letters[32] + spelled)]
+                ends.append(4 * len(ids))
             else:
                 rest.append(u)
-        for unit, ids in zip(rest, self.ids_of(rest), strict=True):
-            cache[unit] = ids.tobytes()
+        raw = np.array(ids, dtype="<u4").tobytes()
+        cache.update(zip(words, [raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], strict=True))
+        for unit, some in zip(rest, self.ids_of(rest), strict=True):
+            cache[unit] = some
 
     def ids_of(self, texts: list[str]):
         """The library's ids of each text, some at a time: its encodings take far more room than their ids."""
         for part in in_chunks(texts, 200_000):
             for e in self.library.encode_batch_fast(texts[part], add_special_tokens=False):
-                yield np.array(e.ids, dtype="<u4")
+                yield np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.units(t) for t in texts]
+        return [np.frombuffer(raw, dtype="<u4") for raw in self.raw(texts)]
+
+    def raw(self, texts: list[str]) -> list[bytes]:
+        """The ids as little-endian 32-bit integers."""
         if len(self.cache) > CACHE_UNITS:
             self.cache = dict(islice(self.cache.items(), CACHE_UNITS // 2))
-        cache = self.cache
-        new = set().union(*filter(None, cut)).difference(cache)
-        long = [u for u in new if len(u) > CACHE_CHARS]
-        self.learn(list(new.difference(long)), cache)
-        self.learn(long, cache)
-        whole = [t for t, units in zip(texts, cut, strict=True) if units is None]
-        rest = self.ids_of(whole)
-        out = [np.frombuffer(b"".join(map(cache.__getitem__, units)), dtype="<u4") if units is not None else next(rest) for units in cut]
-        for u in long:
-            del cache[u]
+        cache, out = self.cache, []
+        whole: list[int] = []
+        waiting: list[tuple] = []
+        new: set[str] = set()
+        for i, text in enumerate(texts):  # one text at a time: its units are gone before the next one's are made
+            units = self.units(text)
+            out.append(b"")
+            if units is None:
+                whole.append(i)
+                continue
+            found = list(map(cache.get, units))
+            if None in found:
+                gaps = [(j, units[j]) for j, ids in enumerate(found) if ids is None]
+                new.update([u for _, u in gaps])
+                waiting.append((i, found, gaps))
+            else:
+                out[i] = b"".join(found)
+        self.learn(list(new), cache)
+        for i, found, gaps in waiting:
+            for j, u in gaps:
+                found[j] = cache[u]
+            out[i] = b"".join(found)
+        for i, ids in zip(whole, self.ids_of([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        for u in new:
+            if len(u) > CACHE_CHARS:
+                del cache[u]
         return out
 
 
